@@ -135,6 +135,15 @@ def _numbering() -> defaultdict:
     return d
 
 
+def _buckets_for(docs: DataFrame) -> int:
+    """One word bucket for every 64 MB that the plan reads, by Catalyst's estimate, so that a bucket's word table stays small.
+
+    A plan that has no estimate (rows from memory or a checkpoint) gets ``BUCKETS``; pass ``buckets`` for a large one.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return BUCKETS if size >= 1 << 60 else min(max(BUCKETS, size // (64 << 20)), 200_000)
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, buckets: int | None = None) -> DataFrame:
     """(id, n_tokens, ids): ``ids`` is binary, little-endian unsigned 32-bit (see ``as_array``).
 
@@ -144,7 +153,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     import zstandard
 
     path, pattern = path or vocabulary_path(), pattern or public_tokenizers.PATTERN
-    buckets = buckets or BUCKETS
+    buckets = buckets or _buckets_for(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 

@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.core.session import table
-from strataweave.llm import bpe, decontam, simhash
+from strataweave.llm import bpe, curve_ann, decontam, mil_toxicity, ordinal_quality, shards, simhash
+from strataweave.llm.hashed_text import held_out
+
+
+KEEP_TAIL = 0.5
+N_SHARDS = 16
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +24,36 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal_quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = ordinal_quality.score(docs.select("doc_id", "text"), model, keep_text=False)
+    tail = F.col("_quality.tail")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col("_quality.expected_grade").alias("expected_grade"), tail.alias("tail_probability"), (tail >= KEEP_TAIL).alias("keep"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mil_toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = mil_toxicity.score(docs.select("doc_id", "text"), model, keep_text=False)
+    s = F.col("_toxic.score")
+    worst = F.aggregate("_toxic.sentences", F.struct(F.lit(-1.0).alias("p"), F.lit(None).cast("int").alias("from"), F.lit(None).cast("int").alias("to")), lambda a, x: F.when(x["p"] > a["p"], F.struct(x["p"].alias("p"), x["from"].alias("from"), x["to"].alias("to"))).otherwise(a))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"), F.size("_toxic.sentences").alias("n_offending"), worst["from"].alias("worst_from"), worst["to"].alias("worst_to"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = curve_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))
+
+
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    narrow = docs.select("doc_id", "source", "lang", "n_chars", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    cut = shards.hilbert_shards(narrow, shards.document_cells(), N_SHARDS, ["text_crc32", "size", "doc_id"])
+    return cut.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -46,7 +81,7 @@ FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe, "op10_decontamination": op10_decontamination}
+    return {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op6_toxicity": op6_toxicity, "op8_neighbours": op8_neighbours, "op9_hilbert_shards": op9_hilbert_shards, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
