@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.core.session import table
-from strataweave.llm import bpe, curve_ann, decontam, mil_toxicity, ordinal_quality, shards, simhash
+from strataweave.core.session import checkpoint_dir, table
+from strataweave.llm import bpe, curve_ann, decontam, mil_toxicity, ordinal_quality, shards, simhash, token_rollup, toolcalls, warc
 from strataweave.llm.hashed_text import held_out
 
 
 KEEP_TAIL = 0.5
 N_SHARDS = 16
+BPE_VERSION, WORD_VERSION = "byte_bpe_multi_50k", "white_space_words"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +22,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: provisional counts arrive, exact counts revise them (committed twice), null and empty texts are deleted."""
+    docs = table(spark, sf_dir, "documents")
+    ledger = token_rollup.TokenLedger(spark, f"{checkpoint_dir(spark)}/token-ledger-{uuid.uuid4().hex}")
+    guess = (F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("bigint").alias("n_tokens")
+    versions = F.explode(F.array(F.lit(BPE_VERSION), F.lit(WORD_VERSION))).alias("tokenizer")
+    ledger.commit("arrive", docs.select("doc_id", "source", "lang", guess, versions))
+    exact = token_rollup.count_tokens(docs, {BPE_VERSION: token_rollup.bpe_counter(), WORD_VERSION: lambda t: len(t.split())})
+    ledger.commit("revise", exact)
+    ledger.commit("revise", exact)
+    ledger.commit("delete", deletes=docs.where("text is null or text = ''").select("doc_id"))
+    return ledger.totals()
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -32,6 +49,59 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col("_quality.expected_grade").alias("expected_grade"), tail.alias("tail_probability"), (tail >= KEEP_TAIL).alias("keep"))
 
 
+SCHEMAS = {"lookup": {"chars": ("integer", True), "head": ("string", True), "prefer": ("string", False)}, "measure": {"chars": ("number", True), "exact": ("boolean", True)}}
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all conversations as tool use: an assistant's turn calls a tool, the user's next turn is its result; other turns are messages.
+
+    The table has no calls of its own, so names and arguments follow from the turn's length, some of them wrong on purpose of the rule.
+    """
+    conv = table(spark, sf_dir, "conversations")
+    n, turn = F.length("text"), F.col("turn")
+    ident = lambda t: F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), t)
+    name = F.when(n % 5 < 3, "lookup").when(n % 5 == 3, "measure").otherwise("guess")
+    head = F.concat(F.lit("h"), (n % 11).cast("string"))
+    args = (
+        F.when(n % 5 == 0, F.concat(F.lit('{"head": "'), head, F.lit('", "chars": '), n.cast("string"), F.lit("}")))
+        .when(n % 5 == 1, F.concat(F.lit('{"prefer":"x","head":"'), head, F.lit('"}')))
+        .when(n % 5 == 2, F.concat(F.lit('{"head": 1, "chars": '), n.cast("string"), F.lit("}")))
+        .when(n % 5 == 3, F.concat(F.lit('{"exact":true,"chars":'), n.cast("string"), F.lit("}")))
+        .otherwise(F.concat(F.lit("chars "), n.cast("string")))
+    )
+    calls = conv.where("role = 'assistant'").select("conv_id", "turn", ident(turn).alias("call_id"), name.alias("name"), args.alias("arguments"), F.array(ident(turn - 2)).alias("depends_on"))
+    results = conv.where("role = 'user' and turn > 0").select("conv_id", "turn", ident(turn - 1).alias("call_id"), F.col("text").alias("content"))
+    linked = toolcalls.link(calls, results, SCHEMAS)
+    plain = conv.where("role is null or role not in ('assistant', 'user') or (role = 'user' and (turn <= 0 or turn is null))")
+    lines = linked.union(plain.select("conv_id", "turn", F.lit(0).alias("level"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit("ok").alias("status"), toolcalls.message_json(F.col("role"), F.col("text")).alias("json")))
+    return lines.select("conv_id", "turn", "level", "kind", "call_id", "status", F.sha2("json", 256).alias("json_sha256"))
+
+
+OP5_SQL = """
+WITH c AS (SELECT *, length(text) AS n FROM conversations),
+q AS (SELECT conv_id, turn, role, text, n, 'call_' || conv_id || '_' || turn AS call_id, 'call_' || conv_id || '_' || (turn - 1) AS answers, to_json(text)::VARCHAR AS js FROM c),
+calls AS (
+  SELECT conv_id, turn, call_id,
+    CASE WHEN n % 5 < 3 THEN 'lookup' WHEN n % 5 = 3 THEN 'measure' ELSE 'guess' END AS name,
+    CASE n % 5 WHEN 0 THEN '{"chars":' || n || ',"head":"h' || (n % 11) || '"}' WHEN 1 THEN '{"head":"h' || (n % 11) || '","prefer":"x"}'
+      WHEN 2 THEN '{"chars":' || n || ',"head":1}' WHEN 3 THEN '{"chars":' || n || ',"exact":true}' ELSE '"chars ' || n || '"' END AS args,
+    CASE n % 5 WHEN 1 THEN 'missing:chars' WHEN 2 THEN 'type:head' WHEN 4 THEN 'unknown_tool' END AS bad
+  FROM q WHERE role = 'assistant'),
+results AS (SELECT conv_id, turn, answers AS call_id, js FROM q WHERE role = 'user' AND turn > 0)
+SELECT conv_id, c.turn AS turn, 0 AS level, 'tool_call' AS kind, c.call_id AS call_id,
+  CASE WHEN bad IS NOT NULL THEN bad WHEN r.turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+  sha256('{"arguments":' || args || ',"id":"' || c.call_id || '","name":"' || name || '","result":' ||
+    CASE WHEN r.turn IS NULL THEN 'null' ELSE '{"content":' || r.js || ',"turn":' || r.turn || '}' END || ',"role":"tool_call"}') AS json_sha256
+FROM calls c LEFT JOIN results r USING (conv_id, call_id)
+UNION ALL
+SELECT conv_id, turn, 0, 'tool_result', call_id, 'orphan', sha256('{"content":' || js || ',"id":"' || call_id || '","role":"tool_result"}')
+FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
+UNION ALL
+SELECT conv_id, turn, 0, 'message', NULL, 'ok', sha256('{"content":' || js || ',"role":"' || role || '"}')
+FROM q WHERE role NOT IN ('assistant', 'user') OR (role = 'user' AND turn <= 0)
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = mil_toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -41,6 +111,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"), F.size("_toxic.sentences").alias("n_offending"), worst["from"].alias("worst_from"), worst["to"].alias("worst_to"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    back = warc.read_warc(spark, path)
+    page = lambda c: F.expr(f"try_cast(split({c}, ':')[2] as bigint)")
+    digest = F.coalesce(F.sha1("payload"), F.col("digest"))
+    return back.select(page("record_id").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT h, max(page_id) AS last FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM p LEFT JOIN m USING (h)
+"""
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = curve_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))
@@ -81,8 +169,12 @@ FROM w LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op3_bpe": op3_bpe, "op4_quality": op4_quality, "op6_toxicity": op6_toxicity, "op8_neighbours": op8_neighbours, "op9_hilbert_shards": op9_hilbert_shards, "op10_decontamination": op10_decontamination}
+    import corpus_pipeline
+
+    named = (op1_simhash, op2_token_rollup, op3_bpe, op4_quality, op5_tool_calls, op6_toxicity, op7_warc, op8_neighbours, op9_hilbert_shards, op10_decontamination)
+    return {**{f.__name__: f for f in named}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10_SQL}
+    """What DuckDB can say too. Fingerprints, BPE, learned scores, CRC-32 and nearest neighbours have brute-force tests instead."""
+    return {"op5_tool_calls": OP5_SQL, "op7_warc": OP7_SQL, "op10_decontamination": OP10_SQL}
