@@ -21,6 +21,8 @@ from strataweave.operators import fusion as U
 from strataweave.operators import ordered as O
 from strataweave.operators import partitioning as K
 from strataweave.operators import raster as R
+from strataweave.operators import reconcile as C
+from strataweave.operators import registration as T
 from strataweave.operators import spatial as J
 from strataweave.plans.graph import connected_components
 from strataweave.sources import web as W
@@ -526,6 +528,154 @@ def page_weights(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", K.page_weight(n % 4, n % 3, n % 2, n).cast("double").alias("weight"))
 
 
+# ---------------------------------------------------------------- reconciliation
+
+_LIFE = "CASE p_partkey % 7 WHEN 0 THEN 'current' WHEN 1 THEN 'proposed' WHEN 2 THEN 'refused' WHEN 3 THEN 'current' WHEN 4 THEN 'proposed' WHEN 5 THEN NULL ELSE 'superseded' END"
+
+
+@query(f"""WITH e AS (SELECT p_partkey % 400 AS k, CASE WHEN p_partkey % 400 < 250 AND p_partkey % 7 IN (2, 6) THEN 'current' ELSE {_LIFE} END AS state, (50 + p_partkey % 50) / 100.0::DOUBLE AS c, p_partkey % 3 = 0 AS title FROM part WHERE p_partkey % 5 < 2),
+g AS (SELECT k, max(c) FILTER (state IN ('refused', 'superseded')) AS x, arg_max(state, c * 1000 + CASE state WHEN 'superseded' THEN 0.5 ELSE 0 END) FILTER (state IN ('refused', 'superseded')) AS xs, max(c) FILTER (state = 'current') AS cur, max(c) FILTER (state = 'proposed') AS pro, max(c) FILTER (state = 'current' AND title) AS t FROM e GROUP BY 1)
+SELECT k, CASE WHEN x IS NOT NULL THEN xs WHEN cur IS NOT NULL AND pro IS NOT NULL THEN CASE WHEN t >= 0.95 AND t >= cur THEN 'current' ELSE 'unknown' END WHEN cur IS NOT NULL THEN 'current' WHEN pro IS NOT NULL THEN 'proposed' ELSE 'unknown' END AS state,
+ CASE WHEN x IS NOT NULL THEN x WHEN cur IS NOT NULL AND pro IS NOT NULL THEN CASE WHEN t >= 0.95 AND t >= cur THEN cur ELSE least(cur, pro) END ELSE coalesce(cur, pro, 0.45) END::DOUBLE AS confidence FROM g""")
+def lifecycle_combine(spark, sf):
+    k = F.col("p_partkey")
+    state = F.when((k % 400 < 250) & (k % 7).isin(2, 6), "current").otherwise(F.expr(_LIFE))
+    e = table(spark, sf, "part").where("p_partkey % 5 < 2").select((k % 400).alias("k"), state.alias("state"), ((50 + k % 50) / 100.0).alias("confidence"), F.when(k % 3 == 0, "drawing-title-block").otherwise("application").alias("source"))
+    return C.combine_lifecycle(e, "k")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s, p_partkey % 6 AS m FROM part)
+SELECT k, CASE m WHEN 0 THEN NULL WHEN 1 THEN floor(greatest(0.5, least(40, s::DOUBLE)) * 10 + 0.5) / 10 WHEN 2 THEN greatest(0.5, least(40, s)) WHEN 3 THEN floor((1 + s % 4) * 3.1::DOUBLE * 10 + 0.5) / 10 WHEN 4 THEN floor((least(40, s) + least(40, s + 2)) / 2.0::DOUBLE * 10 + 0.5) / 10 ELSE NULL END::DOUBLE AS width_m,
+ CASE m WHEN 0 THEN 'area-footprint' WHEN 1 THEN 'observed-width' WHEN 2 THEN 'tag-estimate' WHEN 3 THEN 'lanes-derived' WHEN 4 THEN 'variable-width-tagged' ELSE 'unknown-marker' END AS status FROM p""")
+def path_widths(spark, sf):
+    k, s, m = F.col("p_partkey"), F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    none = F.create_map(F.lit("note"), F.lit("x"))
+    tags = (
+        F.when(m == 1, F.create_map(F.lit("width"), F.concat(s, F.lit(" m")))).when(m == 2, F.create_map(F.lit("est_width"), s)).when(m == 3, F.create_map(F.lit("lanes"), (1 + F.col("p_size") % 4).cast("string")))
+        .when(m == 4, F.create_map(F.lit("width:start"), s, F.lit("width:end"), (F.col("p_size") + 2).cast("string"))).otherwise(none)
+    )
+    w = C.path_width(tags, F.lit("road"), F.when(m == 0, "area").otherwise("line"))
+    return table(spark, sf, "part").select(k.alias("k"), w.alias("w")).select("k", "w.width_m", "w.status")
+
+
+@query(f"""WITH o AS (SELECT {_BOX.format(k='(s_suppkey * 3 + 1)')} FROM supplier), f AS (SELECT {_BOX.format(k='p_partkey')} FROM part),
+p AS (SELECT f.id AS id, greatest(0, least(o.max_x, f.max_x) - greatest(o.min_x, f.min_x)) * greatest(0, least(o.max_z, f.max_z) - greatest(o.min_z, f.min_z)) AS i, (o.max_x - o.min_x) * (o.max_z - o.min_z) AS a, (f.max_x - f.min_x) * (f.max_z - f.min_z) AS b,
+ sqrt(pow(greatest(0, greatest(o.min_x, f.min_x) - least(o.max_x, f.max_x)), 2) + pow(greatest(0, greatest(o.min_z, f.min_z) - least(o.max_z, f.max_z)), 2)) AS gap FROM o, f WHERE o.family = f.family AND o.min_x - 3 <= f.max_x AND o.max_x + 3 >= f.min_x AND o.min_z - 3 <= f.max_z AND o.max_z + 3 >= f.min_z),
+c AS (SELECT id, max(CASE WHEN i > 0 THEN greatest(i / (a + b - i), 0.9 * i / least(a, b)) WHEN gap <= 3 THEN 0.35 ELSE 0 END) AS c FROM p GROUP BY 1)
+SELECT CASE WHEN c >= 0.72 THEN 'superseded' WHEN c >= 0.35 THEN 'ambiguous' ELSE 'kept' END AS action, count(*) AS n, sum(f.id)::BIGINT AS ids FROM f LEFT JOIN c USING (id) GROUP BY 1""")
+def official_supersede(spark, sf):
+    fam = lambda k: F.when(k % 3 == 0, "line").otherwise("area")
+    f = _boxes(table(spark, sf, "part"), "p_partkey", fam(F.col("p_partkey"))).withColumnRenamed("family", "kind").withColumn("name", F.lit(None).cast("string"))
+    sup = table(spark, sf, "supplier").select((F.col("s_suppkey") * 3 + 1).alias("k"))
+    o = _boxes(sup, "k", fam(F.col("k"))).withColumnRenamed("family", "kind").withColumn("name", F.lit(None).cast("string"))
+    return C.supersede(o, f).groupBy("action").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("""WITH c AS (SELECT l_partkey AS k, CASE WHEN l_quantity * 1.0137::DOUBLE BETWEEN 1.5 AND 80 AND l_linenumber != 2 THEN l_quantity * 1.0137::DOUBLE END AS h FROM lineitem), g AS (SELECT k, count(*) AS tried, count(h) AS n, quantile_cont(h, 0.65) AS p65, quantile_cont(h, 0.9) - quantile_cont(h, 0.1) AS sp FROM c GROUP BY 1),
+r AS (SELECT *, floor(p65 * 10 + 0.5) / 10 AS h, floor(sp * 10 + 0.5) / 10 AS s, n / tried::DOUBLE AS cov FROM g)
+SELECT k, n, CASE WHEN n >= 4 AND cov >= 0.35 THEN h END AS height_m, CASE WHEN n >= 4 AND cov >= 0.35 THEN s END AS spread_m, floor(cov * 1000 + 0.5) / 1000 AS coverage, CASE WHEN n >= 4 AND cov >= 0.35 THEN least(0.99, floor((0.45::DOUBLE + 0.25::DOUBLE * cov + 0.2::DOUBLE * least(1.0, log2(n + 1) / 7) + 0.1::DOUBLE * greatest(0, 1 - s / greatest(6, h))) * 1000 + 0.5) / 1000) END AS confidence,
+ CASE WHEN n >= 4 AND cov >= 0.35 THEN 'measured' ELSE 'insufficient-coverage' END AS status FROM r""")
+def building_heights(spark, sf):
+    c = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("k"), F.lit(0.0).alias("terrain"), F.when(F.col("l_linenumber") != 2, F.col("l_quantity") * 1.0137).alias("surface"))
+    return C.building_heights(c, "k")
+
+
+_ROOF = "SELECT o_orderkey % 40 AS x, o_orderkey // 40 % 40 AS z, 0.0::DOUBLE AS terrain, CASE WHEN max(o_orderkey) % 7 = 0 THEN NULL ELSE floor(max(o_totalprice) / 50000) END AS surface FROM orders GROUP BY ALL"
+
+
+@query(f"""WITH c AS ({_ROOF}), j AS (SELECT c.x, c.z, any_value(c.terrain) AS terrain, any_value(c.surface) AS surface, count(d.surface) AS n, median(d.surface) AS m, count(*) FILTER (abs(d.surface - c.surface) <= 1.25) AS s FROM c LEFT JOIN c d ON abs(c.x - d.x) <= 1 AND abs(c.z - d.z) <= 1 GROUP BY ALL),
+e AS (SELECT *, CASE WHEN surface IS NULL AND n >= 3 THEN 'interpolated' WHEN surface IS NULL THEN 'fallback' WHEN n >= 4 AND abs(surface - m) > 2.25 AND s < CASE WHEN n >= 6 THEN 3 ELSE 2 END THEN 'outlier' ELSE 'measured' END AS evidence FROM j)
+SELECT x, z, CASE WHEN evidence = 'measured' THEN surface WHEN n >= 3 THEN m ELSE terrain + 4 END AS roof, evidence FROM e""")
+def roof_cells(spark, sf):
+    c = table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 40).alias("x"), (F.floor(F.col("o_orderkey") / 40) % 40).alias("z")).agg(F.lit(0.0).alias("terrain"), F.when(F.max("o_orderkey") % 7 != 0, F.floor(F.max("o_totalprice") / 50000).cast("double")).alias("surface"))
+    return C.roof_cells(c, [])
+
+
+@query("""WITH s AS (SELECT 'u' || user_id AS ride, CASE WHEN user_id % 4 = 0 OR event_id % (user_id % 4 + 1) > 0 THEN value END AS e, CASE WHEN user_id % 8 = 0 THEN value END AS b FROM events), g AS (SELECT ride, count(*) AS n, count(e) AS v, count(b) AS bb, min(e) AS low, max(e) AS high FROM s GROUP BY 1)
+SELECT ride, CASE WHEN v = n AND bb = n THEN 'full-3d-with-banking' WHEN v = n THEN 'full-3d-elevation' WHEN v > 0 THEN 'partial-3d' ELSE '2d-only' END AS status, floor(v / n::DOUBLE * 1000 + 0.5) / 1000 AS vertical_coverage, floor(bb / n::DOUBLE * 1000 + 0.5) / 1000 AS banking_coverage, low, high FROM g""")
+def ride_summary(spark, sf):
+    u, e = F.col("user_id"), F.col("event_id")
+    s = table(spark, sf, "events").select(F.concat(F.lit("u"), u).alias("feature_id"), F.lit(None).cast("string").alias("name"), F.when((u % 4 == 0) | (e % (u % 4 + 1) > 0), F.col("value")).alias("elevation"), F.when(u % 8 == 0, F.col("value")).alias("banking"), F.lit(0.5).alias("confidence"))
+    return C.ride_summary(s).drop("confidence")
+
+
+@query("""WITH a AS (SELECT p_brand AS k, p_partkey % 5 AS f, (60 + p_size) / 110.0::DOUBLE AS s, 1 AS n FROM part WHERE p_partkey % 50 < 2 OR p_brand < 'Brand#3'), g AS (SELECT k, sum(n)::BIGINT AS anchors, count(DISTINCT f) AS features, median(s) AS m FROM a GROUP BY 1)
+SELECT k, anchors, features, CASE WHEN anchors >= 4 AND features >= 2 AND m >= 0.78 THEN 'proved' ELSE 'unproved' END AS status, CASE WHEN anchors >= 4 AND features >= 2 AND m >= 0.78 THEN floor(least(0.96, 0.84::DOUBLE + least(0.1, 0.015::DOUBLE * features) + least(0.02, 0.001::DOUBLE * anchors)) * 1000 + 0.5) / 1000 END AS confidence FROM g""")
+def application_proof(spark, sf):
+    a = table(spark, sf, "part").where("p_partkey % 50 < 2 or p_brand < 'Brand#3'").select(F.col("p_brand").alias("k"), (F.col("p_partkey") % 5).alias("feature"), ((60 + F.col("p_size")) / 110.0).alias("score"), F.lit(1).alias("n"))
+    return C.application_proof(a, "k").drop("median_score")
+
+
+@query("""WITH f AS (SELECT p_type || '/' || p_brand AS block, min(p_partkey) AS first FROM part GROUP BY 1) SELECT block, row_number() OVER (ORDER BY first, block) - 1 AS palette_id FROM f""")
+def palette_ids(spark, sf):
+    return C.dense_palette(table(spark, sf, "part").select(F.concat("p_type", F.lit("/"), "p_brand").alias("block"), "p_partkey"), "block", "p_partkey")
+
+
+@query("""SELECT p_size AS style, CASE WHEN count(DISTINCT p_brand[7]) = 1 THEN min(p_brand[7]) END AS value, count(DISTINCT p_brand[7]) > 1 AS conflict FROM part WHERE p_partkey % 97 = 0 GROUP BY 1""")
+def style_conflicts(spark, sf):
+    return C.conflict_keys(table(spark, sf, "part").where("p_partkey % 97 = 0").select(F.col("p_size").alias("style"), F.substring("p_brand", 7, 1).alias("value")), "style", "value")
+
+
+@query("""WITH e AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 11 != 0), s AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 13 != 0 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 17 = 0), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1)
+SELECT fault, count(*) AS n FROM (SELECT CASE WHEN n.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unexpected' WHEN n.n > 1 THEN 'duplicate' END AS fault FROM e FULL JOIN n USING (k)) WHERE fault IS NOT NULL GROUP BY 1""")
+def shard_coverage(spark, sf):
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    return K.coverage_faults(c.where("k % 11 != 0"), c.where("k % 13 != 0").union(c.where("k % 17 = 0")), "k").groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT DISTINCT p_partkey * 7 % 60 AS x, p_partkey * 11 % 61 AS z FROM part WHERE p_size > 12), v AS (SELECT m.x + i AS x, m.z + j AS z, count(*) AS n FROM m, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j) WHERE NOT (i = 0 AND j = 0) GROUP BY ALL)
+SELECT coalesce(m.x, v.x) AS x, coalesce(m.z, v.z) AS z FROM m FULL JOIN v ON m.x = v.x AND m.z = v.z WHERE CASE WHEN m.x IS NOT NULL THEN coalesce(n, 0) > 1 ELSE n >= 6 END""")
+def mask_refine(spark, sf):
+    m = table(spark, sf, "part").where("p_size > 12").select((F.col("p_partkey") * 7 % 60).alias("x"), (F.col("p_partkey") * 11 % 61).alias("z")).distinct().withColumn("seed", F.lit(False))
+    return R.refine_mask(m, []).select("x", "z")
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, (c_custkey * 31 % 4000 - 2000) AS x, (c_custkey * 17 % 3000 - 1500) AS z FROM customer), a AS (SELECT id, ((((x + 4294967296) % 4294967296)::HUGEINT * 374761393) % 4294967296)::BIGINT AS p, ((((z + 4294967296) % 4294967296)::HUGEINT * 668265263) % 4294967296)::BIGINT AS q FROM c),
+b AS (SELECT id, xor(xor(p, q), ((5::HUGEINT * 1442695041) % 4294967296)::BIGINT) AS v FROM a), d AS (SELECT id, ((xor(v, v >> 13)::HUGEINT * 1274126177) % 4294967296)::BIGINT AS v FROM b) SELECT id, xor(v, v >> 16) AS noise FROM d""")
+def coordinate_noise(spark, sf):
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(k.alias("id"), S.hash_2d(k * 31 % 4000 - 2000, k * 17 % 3000 - 1500, 5).alias("noise"))
+
+
+@query("""WITH c AS (SELECT p_partkey * 7 % 256 AS r, p_partkey * 13 % 256 AS g, p_partkey * 29 % 256 AS b FROM part), t AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS lum, CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)::DOUBLE ELSE 0 END AS sat, 2 * g - r - b AS ex FROM c)
+SELECT CASE WHEN lum < 28 THEN 'shadow' WHEN b > g + 6 AND b > r + 10 AND lum < 120 THEN 'water-candidate' WHEN ex > 22 AND lum < 75 THEN 'canopy' WHEN ex > 22 AND lum < 150 THEN 'grass' WHEN ex > 12 THEN 'vegetation' WHEN r > g AND g > b AND sat > 0.3 AND lum < 110 THEN 'soil-mulch' WHEN r >= g AND g > b AND sat > 0.22 AND lum < 190 THEN 'dry-grass'
+ WHEN sat < 0.12 AND lum < 95 THEN 'rock-gravel' WHEN r > g AND g > b AND lum >= 190 THEN 'sand' WHEN sat < 0.15 THEN 'hardscape' ELSE 'unclassified' END AS class, count(*) AS n FROM t GROUP BY 1""")
+def aerial_classes(spark, sf):
+    k = F.col("p_partkey")
+    c = table(spark, sf, "part").select(L.aerial_class(*[(k * m % 256).cast("double") for m in (7, 13, 29)]).alias("class"))
+    return c.groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT user_id AS k, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::DOUBLE AS pos, event_id, value FROM events), a AS (SELECT k, pos, value AS v FROM p WHERE event_id % 5 = 0),
+n AS (SELECT p.k, p.pos, max(CASE WHEN event_id % 5 = 0 THEN pos END) OVER w1 AS lo, min(CASE WHEN event_id % 5 = 0 THEN pos END) OVER w2 AS hi FROM p WINDOW w1 AS (PARTITION BY k ORDER BY pos), w2 AS (PARTITION BY k ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT n.k, n.pos, round(CASE WHEN lo = hi THEN x.v WHEN hi > lo THEN x.v + (y.v - x.v) * (n.pos - lo) / (hi - lo) END, 9) AS level FROM n LEFT JOIN a x ON x.k = n.k AND x.pos = lo LEFT JOIN a y ON y.k = n.k AND y.pos = hi""")
+def bracket_levels(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    p = table(spark, sf, "events").select(F.col("user_id").alias("k"), F.row_number().over(w).cast("double").alias("pos"), "event_id", "value")
+    b = O.bracket_levels(p.select("k", "pos"), p.where("event_id % 5 = 0").select("k", "pos", F.col("value").alias("level")), ["k"], "pos", "level")
+    return b.select("k", "pos", F.round("bracketed", 9).alias("level"))
+
+
+@query("""WITH r AS (SELECT p_partkey % 500 AS id, CASE WHEN p_name LIKE '% %' THEN 2 ELSE 1 END AS w FROM part), t(rule_no, pat, name, conf) AS (VALUES (1, 'econ', 'economy', 0.9), (2, 'promo', 'promo', 0.95), (3, 'a', 'generic', 0.5)), h AS (SELECT p_partkey, name, conf, rule_no FROM part, t WHERE regexp_matches(lower(p_type), pat)),
+g AS (SELECT * FROM h WHERE NOT (name = 'generic' AND p_partkey IN (SELECT p_partkey FROM h WHERE name = 'economy')))
+SELECT name, count(*) AS n, count(*) FILTER (rn = 1) AS best FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY conf DESC, rule_no) AS rn FROM g) GROUP BY 1""")
+def text_rules(spark, sf):
+    rules = spark.createDataFrame([(1, "economy", "econ", 0.9, ["generic"]), (2, "promo", "promo", 0.95, []), (3, "generic", "a", 0.5, [])], "rule_no int, name string, pattern string, confidence double, suppresses array<string>")
+    m = W.rule_matches(table(spark, sf, "part"), "p_partkey", "p_type", rules)
+    return m.groupBy("name").agg(F.count("*").alias("n"), F.count_if("best").alias("best"))
+
+
+@query()
+def ransac_fit(spark, sf):
+    """Every brand is a page whose parts are control points under a known similarity; every ninth is an outlier."""
+    k = F.col("p_partkey")
+    x, y = (k * 37 % 811).cast("double"), (k * 91 % 577).cast("double")
+    far = F.when(k % 9 == 0, 40.0).otherwise(0.0)
+    c = table(spark, sf, "part").where("p_partkey % 100 < 12").select(F.concat("p_brand", F.lit(":"), F.floor(k / 200)).alias("page"), x.alias("sx"), y.alias("sy"), (x * 0.0441 - y * 0.0235 + 140 + far).alias("tx"), (x * 0.0235 + y * 0.0441 - 65).alias("ty"), F.lit(1.0).alias("weight"), F.lit(0.05).alias("expected_scale"))
+    r = T.register_pages(c)
+    return r.select("page", "pass", "inliers", F.round("rmse", 6).alias("rmse"), F.round("scale", 6).alias("scale"), F.round("rotation", 6).alias("rotation"), F.array_join("reasons", ",").alias("reasons"))
+
+
 # ---------------------------------------------------------------- generators and sequential operators (no SQL; tested against plain re-derivations)
 
 @query()
