@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 24_000_000
+from strataweave.core.session import bounded_batches
+
+BLOCK_CHARS = 12_000_000
 CHUNK_BYTES = 1 << 20
 BUCKETS = 96
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -144,14 +146,15 @@ def _buckets_for(docs: DataFrame) -> int:
     return BUCKETS if size >= 1 << 60 else min(max(BUCKETS, size // (64 << 20)), 200_000)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, buckets: int | None = None) -> DataFrame:
-    """(id, n_tokens, ids): ``ids`` is binary, little-endian unsigned 32-bit (see ``as_array``).
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, buckets: int | None = None, decoded: bool = False) -> DataFrame:
+    """(id, n_tokens, ids): ``ids`` is binary, little-endian unsigned 32-bit (see ``as_array``). With ``decoded`` also the bytes that the ids stand for, as ``decode`` gives them.
 
     Every row gives one row, repeated ids too; a null text is an empty one; extra columns are left behind.
     """
     import public_tokenizers
     import zstandard
 
+    bounded_batches(docs.sparkSession)
     path, pattern = path or vocabulary_path(), pattern or public_tokenizers.PATTERN
     buckets = buckets or _buckets_for(docs)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -238,7 +241,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                     out.append(ids[spread(starts[codes], n_ids[codes])])
                 for some in range(0, len(own), 64):
                     mine = out[some : some + 64]
-                    yield pa.RecordBatch.from_pydict({"id": pa.array(own[some : some + 64], ids_type.value_type), "n_tokens": pa.array([len(x) for x in mine], pa.int64()), "ids": pa.array([x.astype("<u4").tobytes() for x in mine], pa.binary())})
+                    row = {"id": pa.array(own[some : some + 64], ids_type.value_type), "n_tokens": pa.array([len(x) for x in mine], pa.int64()), "ids": pa.array([x.astype("<u4").tobytes() for x in mine], pa.binary())}
+                    if decoded:
+                        row["decoded"] = pa.array([_bytes_of(x.astype(np.int64), path) for x in mine], pa.binary())
+                    yield pa.RecordBatch.from_pydict(row)
 
     ids_type = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])
     packed = f"block binary, kind int, seq int, ids array<{kind}>, numbers binary, lens binary, blob binary"
@@ -246,7 +252,15 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     documents = src.mapInArrow(positions, packed)
     parts = max(answers.sparkSession.sparkContext.defaultParallelism * 4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = answers.union(documents).repartition(parts, "block").sortWithinPartitions("block", "kind", "seq")
-    return met.mapInArrow(reassemble, f"id {kind}, n_tokens bigint, ids binary").withColumnRenamed("id", id_col)
+    return met.mapInArrow(reassemble, f"id {kind}, n_tokens bigint, ids binary{', decoded binary' if decoded else ''}").withColumnRenamed("id", id_col)
+
+
+def _bytes_of(ids: np.ndarray, path: str) -> bytes:
+    """The token-byte table at each id, end to end."""
+    data, starts, lens = _token_bytes(path)
+    if len(ids) and (int(ids.max()) >= len(lens) or not lens[ids].all()):
+        raise ValueError("an id has no token")
+    return data[spread(starts[ids], lens[ids])].tobytes()
 
 
 def _table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,19 +281,10 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", ou
     at = encoded.columns.index(ids_col)
 
     def run(batches):
-        data, starts, lens = _token_bytes(path)
         for b in batches:
             for some in range(0, b.num_rows, 256):
                 part = b.slice(some, 256)
-                out = []
-                for x in part.column(at):
-                    if not x.is_valid:
-                        out.append(None)
-                        continue
-                    ids = np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
-                    if len(ids) and (int(ids.max()) >= len(lens) or not lens[ids].all()):
-                        raise ValueError("an id has no token")
-                    out.append(data[spread(starts[ids], lens[ids])].tobytes())
+                out = [_bytes_of(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64), path) if x.is_valid else None for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*part.schema.names, out_col])
 
     return encoded.mapInArrow(run, encoded.withColumn(out_col, F.lit(b"")).schema)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.core.session import bounded_batches
+
 WINDOW = 10
 BLOCK_CHARS = 8_000_000
 SCREEN_BITS = 22
@@ -141,6 +143,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     texts have no words; an item without words has no window; a null item_id is never listed but its
     windows count. Rows, repeated ones too, map one to one. An empty benchmark hits nothing.
     """
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     kind = "struct<n_words:bigint,spans:array<struct<from:bigint,to:bigint>>,items:array<string>>"
     out = docs.withColumn("_hits", F.lit(None).cast(kind))

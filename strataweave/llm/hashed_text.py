@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 20
-MEMO = 1 << 20
+MEMO = 1 << 18
 WORDS = re.compile(r"\S+")
 
 

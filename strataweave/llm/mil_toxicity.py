@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.core.session import bounded_batches
 from strataweave.llm.hashed_text import BITS, Adam, Memo, compact, labelled_sample, slot
 
 PER_CLASS = 3000
@@ -125,6 +126,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", least: float =
     """
     out = docs.withColumn("_toxic", F.lit(None).cast("struct<score:double,sentences:array<struct<from:int,to:int,p:double>>>"))
     at, into = out.columns.index(text_col), out.columns.index("_toxic")
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataweave.core.session import bounded_batches
 from strataweave.llm.hashed_text import BITS, WORDS, Adam, Memo, labelled_sample, shape, slot
 
 PER_CLASS = 3000
@@ -122,6 +123,7 @@ def score(docs: DataFrame, model: Model, tail_from: int | None = None, text_col:
     at, into = out.columns.index(text_col), out.columns.index("_quality")
     grades = model.grades
     cut = grades.index(tail_from) if tail_from is not None else min(1, len(grades) - 1)
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

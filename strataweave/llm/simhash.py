@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.core.session import cut_lineage
+from strataweave.core.session import bounded_batches, cut_lineage
 from strataweave.core.skew import hot_keys, salted_join
 from strataweave.plans.graph import connected_components
 
 SEED = 42
-PASS = 1 << 22
+PASS = 1 << 20
 PIECE = 1 << 22  # bytes of a long text that are split into words at once
 
 
@@ -85,6 +85,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, shingle) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataweave.core.session import bounded_batches
+
 ENTRY = "doc_id bigint, source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
 DELTA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
 DIMS = ("source", "lang", "tokenizer")
@@ -43,6 +45,7 @@ def count_tokens(docs: DataFrame, counters: dict[str, Callable[[str], int]], tex
             for name, f in counters.items():
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([name] * len(texts)), pa.array([f(t) for t in texts], pa.int64())], names=["doc_id", "source", "lang", "tokenizer", "n_tokens"])
 
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint")
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataweave.core.session import bounded_batches
 from strataweave.core.skew import hot_keys, salted_join
 
 CRLF = b"\r\n"
@@ -110,6 +111,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     A null payload is an empty one, a null URL has no header, a null id never is referred to and never revisits. Extra columns stay out.
     """
+    bounded_batches(pages.sparkSession)
     full = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     full = full.withColumn("digest", F.sha1("payload"))
     d = decide(pages, id_col, payload_col, least).withColumnsRenamed({"id": "_id", "digest": "_digest"})
@@ -188,6 +190,7 @@ def reassembled(segments: DataFrame) -> DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, record_type, target_uri, refers_to, digest, payload_bytes, payload) of every response and revisit; a revisit's payload is null."""
+    bounded_batches(spark)
     cols = ["record_id", "record_type", "target_uri", "refers_to", "digest", "declared", "block"]
     whole = parsed(spark, path, segments=False).select(*cols)
     both = whole.union(reassembled(parsed(spark, path, segments=True)).select(*cols))
