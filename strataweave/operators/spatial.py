@@ -66,7 +66,7 @@ def best_of(scored: DataFrame, key: list[str], target: str, score: str, minimum:
     """One row per key: target, score, second_score, status 'accepted', 'below-score-gate' or 'ambiguous'.
 
     Fails closed: a runner-up nearer than ``gap`` rejects the winner. Ties go to the smaller target and then are ambiguous anyway.
-    The two best come from one aggregation with partial sums, not from a sort of all candidates.
+    The window's limit of two rows a key is pushed below the shuffle, so candidates are thinned where they are made.
     """
     sign = 1 if smaller_is_better else -1
     pair = F.struct((F.col(score) * sign).alias("s"), F.col(target).alias("t"))

@@ -16,6 +16,7 @@ from strataweave.core.session import table
 from strataweave.functions import geometry as G
 from strataweave.functions import ladders as L
 from strataweave.functions import scalars as S
+from strataweave.operators import details as D
 from strataweave.operators import evidence as E
 from strataweave.operators import fusion as U
 from strataweave.operators import ordered as O
@@ -665,6 +666,43 @@ def text_rules(spark, sf):
     return m.groupBy("name").agg(F.count("*").alias("n"), F.count_if("best").alias("best"))
 
 
+@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'site-plan' WHEN 1 THEN 'elevation' WHEN 2 THEN 'decision' WHEN 3 THEN 'unknown' ELSE 'supporting' END AS c FROM part)
+SELECT p_partkey AS k, CASE c WHEN 'site-plan' THEN 96 WHEN 'elevation' THEN 94 WHEN 'decision' THEN 45 WHEN 'unknown' THEN 10 ELSE 30 END AS priority FROM p ORDER BY priority DESC, k LIMIT 500""")
+def document_priority(spark, sf):
+    c = F.element_at(F.array(*map(F.lit, ["site-plan", "elevation", "decision", "unknown", "supporting"])), (F.col("p_partkey") % 5 + 1).cast("int"))
+    d = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), W.class_priority(c).alias("priority"))
+    return K.document_queue(d, "priority", "k", 500)[0]
+
+
+@query("""WITH t AS (SELECT p_partkey % 300 AS k, p_size % 4 AS layer, (p_size % 4 + 1) / 2.0::DOUBLE AS resolution, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS value FROM part), m AS (SELECT k, layer, resolution, value, row_number() OVER (PARTITION BY k ORDER BY resolution, layer, value) AS rn FROM t WHERE value IS NOT NULL) SELECT k, value, layer FROM m WHERE rn = 1""")
+def raster_mosaic(spark, sf):
+    k = F.col("p_partkey")
+    t = table(spark, sf, "part").select((k % 300).alias("k"), (F.col("p_size") % 4).alias("layer"), ((F.col("p_size") % 4 + 1) / 2.0).alias("resolution"), F.when(k % 3 != 0, F.col("p_retailprice")).alias("value"))
+    return D.mosaic(t, ["k"])
+
+
+@query("""WITH b AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 != 0), a AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 != 0) SELECT CASE WHEN a.k IS NULL THEN 'removed' ELSE 'added' END AS change, count(*) AS n FROM b FULL JOIN a ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL GROUP BY 1""")
+def tombstones(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    return D.tombstones(o.where("k % 5 != 0"), o.where("k % 7 != 0"), "k").groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT p_brand AS k, CASE p_partkey % 40 WHEN 0 THEN 'refused' WHEN 1 THEN 'current' WHEN 2 THEN 'proposed' END AS state FROM part WHERE p_partkey % 40 < 3 OR p_partkey < 40), g AS (SELECT k, bool_or(coalesce(state = 'refused', false)) AS x, bool_or(coalesce(state = 'current', false)) AS c, bool_or(coalesce(state = 'proposed', false)) AS p FROM e GROUP BY 1)
+SELECT k, CASE WHEN x THEN 'excluded' WHEN c AND p THEN 'ambiguous' WHEN c THEN 'current' WHEN p THEN 'proposed' ELSE 'unknown' END AS decision FROM g""")
+def page_decisions(spark, sf):
+    m = F.col("p_partkey") % 40
+    e = table(spark, sf, "part").where("p_partkey % 40 < 3 or p_partkey < 40").select(F.col("p_brand").alias("k"), F.when(m == 0, "refused").when(m == 1, "current").when(m == 2, "proposed").alias("state"))
+    return D.page_decision(e, "k")
+
+
+@query("""WITH a AS (SELECT DISTINCT l_suppkey % 30 AS i, l_partkey % 50 AS x, l_linenumber AS z FROM lineitem WHERE l_orderkey % 20 = 0), b AS (SELECT DISTINCT l_suppkey % 7 AS j, l_partkey % 50 AS x, l_linenumber AS z FROM lineitem WHERE l_orderkey % 20 = 1),
+n AS (SELECT i, j, count(*) AS n FROM a JOIN b USING (x, z) GROUP BY ALL) SELECT i, j, round(n / least((SELECT count(*) FROM a q WHERE q.i = n.i), (SELECT count(*) FROM b q WHERE q.j = n.j))::DOUBLE, 9) AS overlap FROM n""")
+def cell_overlap(spark, sf):
+    l = table(spark, sf, "lineitem")
+    of = lambda r, m, name: l.where(f"l_orderkey % 20 = {r}").select((F.col("l_suppkey") % m).alias(name), (F.col("l_partkey") % 50).alias("x"), F.col("l_linenumber").alias("z")).distinct()
+    return D.cell_overlap(of(0, 30, "i"), of(1, 7, "j"), "i", "j").select("i", "j", F.round("overlap", 9).alias("overlap"))
+
+
 @query()
 def ransac_fit(spark, sf):
     """Every brand is a page whose parts are control points under a known similarity; every ninth is an outlier."""

@@ -31,12 +31,17 @@ def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return a.select(id_col, F.regexp_replace(full, "#.*$", "").alias("url"), strip_html(F.col("a.text")).alias("label")).where("url is not null and url != ''")
 
 
+def class_priority(classification: Column) -> Column:
+    out = F.lit(PRIORITY["unknown"])
+    for k, v in PRIORITY.items():
+        out = F.when(classification == k, v).otherwise(out)
+    return out
+
+
 def document_links(links: DataFrame) -> DataFrame:
     """Safe links, once per address, with class, priority, and whether they lead straight to a file."""
     c = document_class("label", "url")
-    priority = F.lit(PRIORITY["unknown"])
-    for k, v in PRIORITY.items():
-        priority = F.when(F.col("classification") == k, v).otherwise(priority)
+    priority = class_priority(F.col("classification"))
     d = links.where(is_safe_url("url")).groupBy("url").agg(F.min("label").alias("label")).withColumn("classification", c)
     direct = F.lower(F.concat_ws(" ", "label", "url")).rlike(r"\b(download|document|attachment|file)\b") | F.lower("url").rlike(r"\.(pdf|docx?|xlsx?|dwg|dxf|tiff?|png|jpe?g)([?]|$)")
     return d.withColumn("priority", priority).withColumn("direct", direct)
