@@ -41,6 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Arrow batches of at most ``size`` bytes: by default thousands of whole texts would cross to Python at once. A smaller bound that is set stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark._jsparkSession.sessionState().conf().getConfString(key, str(64 << 20)).rstrip("bB"))
+    text = spark._jsparkSession.sessionState().conf().getConfString(key, "64m")
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
     if now <= 0 or now > size:
         spark.conf.set(key, str(size))
