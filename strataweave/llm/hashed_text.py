@@ -82,16 +82,22 @@ class Adam:
         return -self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def compact(features: list[list[int]], least: int, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(used slots, row of each entry, column of each entry) without slots found in fewer than ``least`` groups of rows."""
-    lens = np.fromiter(map(len, features), np.int64, len(features))
-    rows = np.repeat(np.arange(len(features)), lens)
-    cols = np.fromiter((i for f in features for i in f), np.int64, int(lens.sum()))
-    pairs = np.unique(np.c_[cols, groups[rows]], axis=0) if len(cols) else np.zeros((0, 2), np.int64)
-    slots, n = np.unique(pairs[:, 0], return_counts=True)
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs (a, b) of non-negative numbers, by one sort of their combination."""
+    if not len(a):
+        return a, b
+    wide = int(b.max()) + 1
+    key = np.unique(a.astype(np.int64) * wide + b)
+    return key // wide, key % wide
+
+
+def compact(cols: np.ndarray, lens: np.ndarray, least: int, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(used slots, row of each entry, column of each entry) of rows laid end to end, without slots found in fewer than ``least`` groups of rows."""
+    rows = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+    slots, n = np.unique(distinct_pairs(cols, groups[rows])[0], return_counts=True)
     slots = slots[n >= least]
     if not len(slots):
         return slots, rows[:0], cols[:0]
-    at = np.minimum(np.searchsorted(slots, cols), len(slots) - 1)
+    at = np.minimum(np.searchsorted(slots, cols), len(slots) - 1).astype(np.int32)
     keep = slots[at] == cols
     return slots, rows[keep], at[keep]

@@ -8,6 +8,7 @@ the sentences that explain it. The same sentence scores then point out the offen
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.core.session import bounded_batches
-from strataweave.llm.hashed_text import BITS, Adam, Memo, compact, labelled_sample, slot
+from strataweave.llm.hashed_text import BITS, Adam, Memo, compact, distinct_pairs, labelled_sample, slot
 
 PER_CLASS = 3000
 MAX_TRAIN_CHARS = 12_000
@@ -74,16 +75,18 @@ def fit_texts(texts: list[str], y: np.ndarray, sizes: dict[int, int] | None = No
 
     Features stay that at least ``least`` documents have, and whose share of documents differs between the labels by ``z`` standard errors.
     """
-    features, doc = [], []
+    cols, lens, doc = array("i"), array("i"), array("i")
     for d, t in enumerate(texts):
         for _, _, words in sentences(t):
-            features.append(sorted({i for w in dict.fromkeys(words) for i in word_features(w)}))
+            found = {i for w in dict.fromkeys(words) for i in word_features(w)}
+            cols.extend(sorted(found))
+            lens.append(len(found))
             doc.append(d)
-    doc = np.array(doc, np.int64)
+    cols, lens, doc = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (cols, lens, doc))
     if len(set(y.tolist())) < 2 or not len(doc):
         share = float(np.mean(y)) if len(y) else 0.0
         return Model(-60.0 if share < 0.5 else 60.0, np.zeros(0, np.int64), np.zeros(0))
-    slots, rows, cols = compact(features, least, doc)
+    slots, rows, cols = compact(cols, lens, least, doc)
     slots, rows, cols = _telling(slots, rows, cols, doc, y, z)
     have = np.bincount(y, minlength=2)
     share = np.array([(sizes or {}).get(k, have[k]) / max(have[k], 1) for k in (0, 1)])
@@ -103,8 +106,8 @@ def fit_texts(texts: list[str], y: np.ndarray, sizes: dict[int, int] | None = No
 
 
 def _telling(slots, rows, cols, doc, y, z):
-    seen = np.unique(np.c_[cols, doc[rows]], axis=0)
-    ones, n = np.bincount(seen[:, 0], y[seen[:, 1]], len(slots)), np.bincount(seen[:, 0], minlength=len(slots))
+    slot, of = distinct_pairs(cols, doc[rows])
+    ones, n = np.bincount(slot, y[of], len(slots)), np.bincount(slot, minlength=len(slots))
     n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
     mean = n / len(y)
     keep = np.abs(ones / n1 - (n - ones) / n0) >= z * np.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))
