@@ -45,3 +45,14 @@ def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)
     if now <= 0 or now > size:
         spark.conf.set(key, str(size))
+
+
+def workers_find_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if no search path says so; a cluster needs it at that path or installed."""
+    import os
+
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in known:
+        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
