@@ -24,7 +24,7 @@ from strataweave.core.skew import hot_keys, salted_join
 from strataweave.llm.hilbert import hilbert_index
 
 CURVES, DIMS, BITS = 24, 8, 4
-BLOCKS, WINDOW = 128, 0.025
+BLOCKS, WINDOW = 128, 0.03
 BLOCK_ROWS = 4096
 SAMPLE = 16_384
 
