@@ -117,11 +117,14 @@ def viterbi_profile(candidates: DataFrame, key: str, at: str, height: str, quali
     """(key, at, height, quality) on the best path of each key; a key is one line, and its samples are one group."""
 
     def run(k, t):
-        p = t.select([at, height, quality]).to_pandas().sort_values([at, quality, height], ascending=[True, False, True], kind="stable")
-        places = p[at].unique()
-        groups = [p[p[at] == a] for a in places]
-        picked = best_path(places.astype(float), [g[height].to_numpy(float) for g in groups], [g[quality].to_numpy(float) for g in groups])
-        rows = [(a, float(g[height].iloc[c]), float(g[quality].iloc[c])) for a, g, c in zip(places, groups, picked) if c is not None]
+        a, h, q = (t.column(c).to_numpy() for c in (at, height, quality))
+        order = np.lexsort((h, -q, a))
+        a, h, q = a[order], h[order], q[order]
+        cuts = np.flatnonzero(a[1:] != a[:-1]) + 1
+        places = a[np.r_[0, cuts]]
+        hs, qs = np.split(h, cuts), np.split(q, cuts)
+        picked = best_path(places, hs, qs)
+        rows = [(p, x[c], y[c]) for p, x, y, c in zip(places, hs, qs, picked) if c is not None]
         return pa.table({key: pa.array([k[0].as_py()] * len(rows), t.schema.field(key).type), at: pa.array([float(r[0]) for r in rows], pa.float64()), height: pa.array([r[1] for r in rows], pa.float64()), quality: pa.array([r[2] for r in rows], pa.float64())})
 
     kind = candidates.schema[key].dataType.simpleString()
