@@ -7,7 +7,8 @@ dimensions, scaled by the quantiles of a bounded sample. Quantiles of the sample
 blocks by exact distance, and the lists of all blocks and curves merge.
 
 The window is a share of the table, so the work grows as queries x rows: vectors without low-dimensional structure
-have no neighbours that a window of constant length would find (see the README for the recall measured).
+have no neighbours that a window of constant length would find (see the README for the recall measured). It covers at
+least ``LEAST`` distinct vectors a side; a smaller table is searched whole.
 
 Equal vectors are one entry that carries its smallest ids, so copies are neither compared nor repeated.
 """
@@ -25,6 +26,7 @@ from strataweave.llm.hilbert import hilbert_index
 
 CURVES, DIMS, BITS = 24, 8, 4
 BLOCKS, WINDOW = 128, 0.03
+LEAST, LEAST_BLOCK = 256, 64
 BLOCK_ROWS = 4096
 SAMPLE = 16_384
 
@@ -53,6 +55,9 @@ class Curves:
         self.scales = [np.quantile(sample @ p, np.arange(1, 1 << bits) / (1 << bits), axis=0).T for p in self.planes]
         self.blocks = max(BLOCKS, -(-total // BLOCK_ROWS))
         self.reach = max(1, round(window * self.blocks))
+        if self.reach * (total // self.blocks) < LEAST:
+            self.blocks = max(1, min(self.blocks, total // LEAST_BLOCK))
+            self.reach = -(-LEAST // (total // self.blocks))
         at = np.minimum(np.arange(1, self.blocks) * n // self.blocks, n - 1)
         self.cuts = [np.sort(self.key(c, sample))[at] for c in range(curves)]
 

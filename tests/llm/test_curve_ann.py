@@ -62,3 +62,26 @@ def test_recall_on_the_table(spark):
         hits += r.id in want[r.query_id]
         total += 1
     assert total == 10 * len(want) and hits / total >= 0.9
+
+
+def test_default_window_covers_small_tables(spark):
+    """Up to a few hundred distinct vectors the default finds what brute force finds, also beside a vector with very many copies."""
+    rng = np.random.default_rng(7)
+    for n in (2, 11, 25, 100):
+        rows = [(i, rng.normal(size=12).astype(np.float32).tolist()) for i in range(n)]
+        assert run(spark, rows) == brute(rows), n
+    rows = [(i, rng.normal(size=12).astype(np.float32).tolist()) for i in range(25)]
+    rows += [(i, rows[0][1]) for i in range(25, 2000)]
+    got, want = run(spark, rows), brute(rows[:25] + rows[25:45])
+    assert {q: got[q] for q in range(0, 25, 5)} == {q: want[q] for q in range(0, 25, 5)}
+
+
+def test_window_has_a_floor_in_rows():
+    for n in (1, 2, 11, 25, 63, 64, 100, 500, 2000, 8191, 8192, 10_256):
+        x = np.random.default_rng(n).normal(size=(n, 8))
+        c = curve_ann.Curves(x, n, 2, 8, 4, curve_ann.WINDOW)
+        for i in range(2):
+            size = np.bincount(c.block(i, x), minlength=c.blocks)
+            seen = np.array([[size[max(0, b - c.reach) : b].sum(), size[b + 1 : b + c.reach + 1].sum()] for b in range(c.blocks)])
+            ends = np.array([[size[:b].sum(), size[b + 1 :].sum()] for b in range(c.blocks)])
+            assert (seen >= np.minimum(ends, curve_ann.LEAST)).all(), n
