@@ -709,7 +709,7 @@ def ransac_fit(spark, sf):
     k = F.col("p_partkey")
     x, y = (k * 37 % 811).cast("double"), (k * 91 % 577).cast("double")
     far = F.when(k % 9 == 0, 40.0).otherwise(0.0)
-    c = table(spark, sf, "part").where("p_partkey % 100 < 12").select(F.concat("p_brand", F.lit(":"), F.floor(k / 200)).alias("page"), x.alias("sx"), y.alias("sy"), (x * 0.0441 - y * 0.0235 + 140 + far).alias("tx"), (x * 0.0235 + y * 0.0441 - 65).alias("ty"), F.lit(1.0).alias("weight"), F.lit(0.05).alias("expected_scale"))
+    c = table(spark, sf, "part").select(F.concat("p_brand", F.lit(":"), F.floor(k / 200)).alias("page"), x.alias("sx"), y.alias("sy"), (x * 0.0441 - y * 0.0235 + 140 + far).alias("tx"), (x * 0.0235 + y * 0.0441 - 65).alias("ty"), F.lit(1.0).alias("weight"), F.lit(0.05).alias("expected_scale"))
     r = T.register_pages(c)
     return r.select("page", "pass", "inliers", F.round("rmse", 6).alias("rmse"), F.round("scale", 6).alias("scale"), F.round("rotation", 6).alias("rotation"), F.array_join("reasons", ",").alias("reasons"))
 
