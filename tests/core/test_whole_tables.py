@@ -14,3 +14,14 @@ def test_ransac_fit_uses_every_part(spark, sf):
     assert clear and all(got[p]["pass"] and got[p].inliers == len(pages[p]) for p in clear)
     assert all(abs(got[p].scale - (0.0441**2 + 0.0235**2) ** 0.5) < 1e-5 for p in clear)
     assert any(not r["pass"] for r in got.values())
+
+
+def test_components_use_every_supplier(spark, tmp_path):
+    spark.range(1, 301).withColumnRenamed("id", "s_suppkey").where("s_suppkey > 90").write.parquet(f"{tmp_path}/supplier.parquet")
+    edges = {(f"s{k % 40}", f"c{k * 7 % 60}") for k in range(91, 301)}
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.component for r in queries.QUERIES["components"](spark, str(tmp_path)).collect()}
+    assert got == label and len(set(got.values())) == 20
