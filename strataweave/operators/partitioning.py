@@ -21,6 +21,16 @@ def lpt_bins(weights: list[tuple[str, float]], n: int) -> dict[str, int]:
     return out
 
 
+def lpt_loads(counts: list[tuple[float, int]], n: int) -> list[tuple[int, float]]:
+    """(items, load) of each bin of ``lpt_bins`` over items given as (weight, how many): equal weights are dealt alike whatever their names, so memory follows the distinct weights."""
+    bins = [(0.0, 0, k) for k in range(max(1, min(n, sum(c for _, c in counts)) or 1))]
+    for w, c in sorted(counts, reverse=True):
+        for _ in range(c):
+            load, size, k = bins[0]
+            heapq.heapreplace(bins, (load + w, size + 1, k))
+    return [(size, load) for load, size, _ in sorted(bins, key=lambda b: b[2])]
+
+
 def page_weight(geometry, vertical, material, text):
     """1 + 8 g + 2 v + 2 m + .02 t, for columns or numbers."""
     return 1 + 8 * geometry + 2 * vertical + 2 * material + 0.02 * text

@@ -718,12 +718,9 @@ def ransac_fit(spark, sf):
 
 @query()
 def lpt_bins(spark, sf):
-    w = [(f"{r.item_id:06d}", float(r.weight)) for r in page_weights(spark, sf).orderBy("item_id").limit(100_000).collect()]
-    plan = K.lpt_bins(w, 16)
-    load: dict[int, list] = {}
-    for name, x in w:
-        load.setdefault(plan[name], []).append(x)
-    return spark.createDataFrame([(k, len(v), float(sum(v))) for k, v in sorted(load.items())], "bin int, pages int, weight double")
+    counts = [(float(r.weight), r.n) for r in page_weights(spark, sf).groupBy("weight").agg(F.count("*").alias("n")).collect()]
+    loads = K.lpt_loads(counts, 16)
+    return spark.createDataFrame([(k, size, load) for k, (size, load) in enumerate(loads) if size], "bin int, pages int, weight double")
 
 
 def _rings(spark, sf):
