@@ -56,8 +56,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """Texts and labels for fitting, and how many ids each label has in all.
 
     At most ``per_class`` ids per label value (lowest hashes of the id, held-out ids excluded), texts of at most
-    ``max_chars`` characters: the bound on what reaches the driver. Of an id's several labels the largest holds; null labels,
-    null ids and ids without a text teach nothing.
+    ``max_chars`` characters: the bound on what reaches the driver. Of an id's several labels the largest holds, of its
+    several texts of that length the smallest; null labels, null ids and ids without a text teach nothing.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").limit(64).collect()}
@@ -67,7 +67,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = F.broadcast(docs.sparkSession.createDataFrame(ids, f"id {kind}, y int"))
     text = docs.where(F.length(text_col).between(1, max_chars)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = sorted(text.join(wanted, "id").collect(), key=lambda r: (r["y"], r["id"], r["text"]))[: 2 * per_class * max(1, len(sizes))]
+    one = text.join(wanted, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = sorted(one.collect(), key=lambda r: (r["y"], r["id"]))
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64), sizes
 
 

@@ -126,3 +126,11 @@ def test_held_out_quality_on_the_table(spark):
     out = ordinal_quality.score(docs.join(labels, "doc_id"), ordinal_quality.fit(docs, labels))
     rows = out.where(held_out("doc_id")).selectExpr("quality", "_quality.tail >= 0.5 as p").collect()
     assert np.mean([r.p == bool(r.quality) for r in rows]) > 0.97
+
+
+def test_sample_takes_one_text_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(i, f"{c} {i}") for i in range(60) for c in "dbac"], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    texts, y, sizes = labelled_sample(docs, labels, "toxic", 10, 100)
+    assert list(np.bincount(y)) == [10, 10] and all(t.startswith("a ") for t in texts)
+    assert all(int(t[2:]) % 2 == k for t, k in zip(texts, y))
