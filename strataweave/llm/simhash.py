@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strataweave.core.session import bounded_batches, cut_lineage
 from strataweave.core.skew import hot_keys, salted_join
@@ -215,10 +216,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return salted_join(found, of_fp, "fp", F.col("id"), hot_keys(counts, "fp")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest (null ids are kept)."""
-    ids = near_duplicates(docs, id_col, text_col, **how).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(ids, id_col, "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, **how) -> DataFrame:
+    """The rows of ``docs`` whose id is their component's smallest (null ids are kept).
+
+    Of an id over several texts, each row is held against the component of its own text. Rows equal in id and fingerprint stay together.
+    """
+    near = near_duplicates(docs, id_col, text_col, shingle, **how)
+    own = F.col(id_col) == F.col("component_id")
+    ids = cut_lineage(near.groupBy(id_col).agg(F.min(own).alias("each"), F.max(own).alias("some")).where("not each"))
+    plain = docs.join(ids.select(id_col), id_col, "left_anti")
+    mixed = ids.where("some").select(id_col)
+    if mixed.isEmpty():
+        return plain
+    kept = near.where(own).join(mixed, id_col, "left_semi").select(F.col(id_col).alias("_id"), F.col("fp").alias("_fp")).distinct()
+
+    def run(batches):
+        for b in batches:
+            fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, shingle) for x in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=[*b.schema.names[:-1], "_fp"])
+
+    again = docs.join(mixed, id_col, "left_semi").select(*docs.columns, F.col(text_col).cast("binary").alias("_text"))
+    schema = StructType([*docs.select(*docs.columns).schema.fields, StructField("_fp", LongType())])
+    again = again.mapInArrow(run, schema)
+    return plain.union(again.join(kept, (F.col(id_col) == F.col("_id")) & (again["_fp"] == kept["_fp"]), "left_semi").select(*plain.columns))
 
 
 def hex16(fp) -> Column:

@@ -117,3 +117,13 @@ def test_hot_key_is_salted(spark, monkeypatch):
     docs = spark.createDataFrame([(i, text if i % 2 else f"text {i} has its own words {i * 7} and {i * 13}") for i in range(4000)], "doc_id bigint, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert len(got) == 4000 and {got[i] for i in range(1, 4000, 2)} == {1}
+
+
+def test_repeated_ids_are_decided_by_row(spark):
+    """An id over several texts stays where it is its group's smallest and goes where it is not; equal rows with one id stay together."""
+    a, b, c = "the same words over and over again", "quite another text of words here", "alone and without any copy at all"
+    rows = [(2, b), (5, b), (5, a), (9, a), (7, c), (7, c), (7, b), (8, c)]
+    docs = spark.createDataFrame([(i, t, "x", "y", 7) for i, t in rows], SCHEMA)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, b), (5, a), (7, c), (7, c)]
