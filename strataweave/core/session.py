@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,12 +36,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables below the shared one; removed when the driver's interpreter ends, for results may be read until then."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    atexit.register(_remove, jvm, conf, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    _remove(spark._jvm, spark._jsc.hadoopConfiguration(), path)
+
+
+def _remove(jvm, conf, path: str) -> None:
+    try:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    except Exception:  # the JVM has gone: the folder stays
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Arrow batches of at most ``size`` bytes: by default thousands of whole texts would cross to Python at once. A smaller bound that is set stays."""
+    """Arrow batches of at most ``size`` bytes: by default thousands of whole texts would cross to Python at once. A smaller bound that is set stays.
+
+    Batches are cut when a query runs, not when it is made, so the setting stays in the caller's session; it changes no result.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     text = spark._jsparkSession.sessionState().conf().getConfString(key, "64m")
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)

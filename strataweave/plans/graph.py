@@ -1,4 +1,7 @@
-"""Connected components over an edge table, by alternating large-star and small-star rounds."""
+"""Connected components over an edge table, by alternating large-star and small-star rounds.
+
+The centre of a large star has as many edges as its component has nodes; the joins deal the edges of such nodes over salts.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +9,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.core.session import cut_lineage
+from strataweave.core.skew import hot_keys, salted_join
 
 
 def _digest(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _lowest(edges: DataFrame) -> tuple[DataFrame, list]:
+    """(u, m): the smallest neighbour of each node; and the nodes with a large share of the edges."""
+    found = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return found.drop("n"), hot_keys(found, "u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    low, hot = _lowest(both)
+    low = low.withColumn("m", F.least("u", "m"))
+    return salted_join(both.where("v > u"), low, "u", F.col("v"), hot, "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low, hot = _lowest(down)
+    linked = salted_join(down, low, "u", F.col("v"), hot, "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
@@ -38,7 +49,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if not before[0]:
             break
-        e = cut_lineage(_small_star(_large_star(e)))
+        e = cut_lineage(_small_star(cut_lineage(_large_star(e))))
         now = _digest(e)
         if now == before:
             break
