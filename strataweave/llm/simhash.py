@@ -10,14 +10,18 @@ fingerprint in one bucket are therefore known from the fingerprint alone, and th
 size. All fingerprints that meet in one point lie within ``radius`` of each other, so a chain along the
 group loses no component; ``verify`` still compares each linked pair.
 
-Bounds: at most ``2**24`` fingerprints per bucket (the number of buckets grows with the count of
-distinct fingerprints), ``PASS`` points per sort. Equal fingerprints are collapsed before anything is emitted.
+The hash adds up bits in groups (bit i of a bucket's number is the parity of one group of fingerprint bits), so the points of a ball
+of radius 2 fall into 1 + bits + bits * (bits - 1) / 2 buckets at most, 137 for 16 bits, not into as many as there are points.
+
+Bounds: ``_bucket_bits`` makes so many buckets that one expects ``BUCKET`` fingerprints at most, ``PASS`` points per sort. Equal
+fingerprints are collapsed before anything is emitted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from strataweave.plans.graph import connected_components
 
 SEED = 42
 PASS = 1 << 20
+BUCKET = 1 << 21  # fingerprints that a bucket holds on average: 16 MB, of which the receiver has a few copies
 PIECE = 1 << 22  # bytes of a long text that are split into words at once
 
 
@@ -95,17 +100,18 @@ def _masks(half: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(64), k)], np.uint64)
 
 
-def _columns(bits: int) -> np.ndarray:
-    """64 fixed pseudo-random words of ``bits`` bits: the columns of the linear hash."""
+def _columns(bits: int, fold: int) -> np.ndarray:
+    """64 words of ``bits`` bits, the columns of the linear hash: the low ``fold`` bits are parities of groups of fingerprint bits, the others pseudo-random."""
     z = (np.arange(1, 65, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) & np.uint64((1 << bits) - 1)).astype(np.uint32)
+    high = (z ^ (z >> np.uint64(31))) & np.uint64(((1 << bits) - 1) ^ ((1 << fold) - 1))
+    return (high | (np.uint64(1) << (np.arange(64, dtype=np.uint64) * np.uint64(37) % np.uint64(64) % np.uint64(fold)))).astype(np.uint32)
 
 
-def _linear(x: np.ndarray, bits: int) -> np.ndarray:
-    """H over GF(2), a byte of x at a time."""
-    col, out = _columns(bits), np.zeros(len(x), np.uint32)
+def _linear(x: np.ndarray, bits: int, fold: int | None = None) -> np.ndarray:
+    """H over GF(2), a byte of x at a time; its low ``fold`` bits (all by default) name the bucket."""
+    col, out = _columns(bits, fold or bits), np.zeros(len(x), np.uint32)
     for byte in range(8):
         lut = np.zeros(256, np.uint32)
         for bit in range(8):
@@ -114,8 +120,9 @@ def _linear(x: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _bucket_bits(n: int, points: int) -> int:
-    return max(6, int(np.ceil(np.log2(max(1, n * points / 2**28)))))
+def _bucket_bits(n: int, half: int) -> int:
+    """The fewest bits (6 at least) for which ``n`` fingerprints, each sent to all buckets of its ball, fill a bucket with ``BUCKET`` on average at most."""
+    return next(b for b in range(6, 33) if b == 32 or n * sum(comb(b, k) for k in range(half + 1)) <= BUCKET << b)
 
 
 def _meet(fps: np.ndarray, bucket: int, bits: int, half: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,10 +130,10 @@ def _meet(fps: np.ndarray, bucket: int, bits: int, half: int, radius: int) -> tu
     masks = _masks(half)
     extra = max(0, int(np.ceil(np.log2(max(1, len(fps) * len(masks) / 2**bits / PASS)))))
     full = bits + extra
-    h = _linear(masks, full)
+    h = _linear(masks, full, bits)
     order = np.argsort(h, kind="stable")
     masks, h = masks[order], h[order]
-    own = _linear(fps, full)
+    own = _linear(fps, full, bits)
     parent = np.arange(len(fps))
     for p in range(1 << extra):
         c = own ^ np.uint32((p << bits) | bucket)
@@ -172,7 +179,7 @@ def links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
     if radius % 2 or radius < 0:
         raise ValueError("radius must be even: both halves of a link then have the same ball")
     half = radius // 2
-    bits = _bucket_bits(n, len(_masks(half)))
+    bits = _bucket_bits(n, half)
 
     def emit(batches):
         keys = np.unique(_linear(_masks(half), bits))
@@ -199,12 +206,8 @@ def links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
     return fps.select("fp").mapInArrow(emit, "bucket int, fps binary").groupBy("bucket").applyInArrow(meet, "src bigint, dst bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """(id, fp, component_id) for every row: ``component_id`` is the smallest id reachable over links.
-
-    Null and empty texts have fingerprint zero and are linked like any other; repeated rows stay. A
-    null id is kept and never wins a minimum (a component of null ids only has a null component_id).
-    """
+def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame, list, DataFrame]:
+    """(id, fp) of every row; (fp, root, component_id) of every fingerprint; the roots that many fingerprints share; rows for each fingerprint (fp, n)."""
     found = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
     counts = found.groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     counts = cut_lineage(counts)
@@ -212,8 +215,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = counts.join(comp, counts["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     lowest = roots.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
     hot_roots = hot_keys(lowest.select("root", F.col("members").alias("n")), "root")
-    of_fp = salted_join(roots.select("fp", "root"), lowest.select("root", "component_id"), "root", F.col("fp"), hot_roots).select("fp", "component_id")
-    return salted_join(found, of_fp, "fp", F.col("id"), hot_keys(counts, "fp")).select(F.col("id").alias(id_col), "fp", "component_id")
+    of_fp = salted_join(roots.select("fp", "root"), lowest.select("root", "component_id"), "root", F.col("fp"), hot_roots).select("fp", "root", "component_id")
+    return found, of_fp, hot_keys(counts, "fp"), counts
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """(id, fp, component_id) for every row: ``component_id`` is the smallest id reachable over links.
+
+    Null and empty texts have fingerprint zero and are linked like any other; repeated rows stay. A
+    null id is kept and never wins a minimum (a component of null ids only has a null component_id).
+    """
+    found, of_fp, hot, _ = _groups(docs, id_col, text_col, shingle, radius)
+    return salted_join(found, of_fp.drop("root"), "fp", F.col("id"), hot).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _with_fingerprint(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``docs`` with a column ``_fp``."""
+
+    def run(batches):
+        for b in batches:
+            fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, shingle) for x in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=[*b.schema.names[:-1], "_fp"])
+
+    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
+    return docs.select(*docs.columns, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, **how) -> DataFrame:
@@ -229,16 +254,32 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     if mixed.isEmpty():
         return plain
     kept = near.where(own).join(mixed, id_col, "left_semi").select(F.col(id_col).alias("_id"), F.col("fp").alias("_fp")).distinct()
+    again = _with_fingerprint(docs.join(mixed, id_col, "left_semi").select(*docs.columns), text_col, shingle)
+    return plain.union(again.join(kept, (F.col(id_col) == F.col("_id")) & (again["_fp"] == kept["_fp"]), "left_semi").select(*plain.columns))
 
-    def run(batches):
-        for b in batches:
-            fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, shingle) for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=[*b.schema.names[:-1], "_fp"])
 
-    again = docs.join(mixed, id_col, "left_semi").select(*docs.columns, F.col(text_col).cast("binary").alias("_text"))
-    schema = StructType([*docs.select(*docs.columns).schema.fields, StructField("_fp", LongType())])
-    again = again.mapInArrow(run, schema)
-    return plain.union(again.join(kept, (F.col(id_col) == F.col("_id")) & (again["_fp"] == kept["_fp"]), "left_semi").select(*plain.columns))
+def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """Exactly one row of ``docs`` for each component: of the rows with its smallest id (of all its rows, if no id is known) the first by fingerprint, text and the other columns as JSON.
+
+    So repeated rows, repeated ids and rows without an id leave one document a group too. Only rows of repeated or null ids
+    are fingerprinted twice; the others are decided by their id. An empty table stays empty. Columns called _fp, _text or _order are not allowed.
+    """
+    found, of_fp, hot, counts = _groups(docs, id_col, text_col, shingle, radius)
+    near = salted_join(found, of_fp, "fp", F.col("id"), hot)
+    own = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    ids = cut_lineage(near.where("id is not null").groupBy(F.col("id").alias(id_col)).agg(F.min(own).alias("each"), F.count("*").alias("n")).where("not each or n > 1"))
+    plain = docs.where(F.col(id_col).isNotNull()).join(ids.select(id_col), id_col, "left_anti").select(*docs.columns)
+    several = ids.where("n > 1").select(id_col)
+    if several.isEmpty() and docs.where(F.col(id_col).isNull()).isEmpty():
+        return plain
+    again = docs.where(F.col(id_col).isNull()).union(docs.join(several, id_col, "left_semi").select(*docs.columns))
+    again = _with_fingerprint(again, text_col, shingle)
+    again = salted_join(again.withColumnRenamed("_fp", "fp"), of_fp, "fp", F.col(text_col), hot)
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    order = F.struct(F.col("fp"), F.col(text_col), F.to_json(F.struct(*map(F.col, others))) if others else F.lit(0))
+    fit = again.where(F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id")))
+    one = fit.groupBy("root").agg(F.min_by(F.struct(*map(F.col, docs.columns)), order).alias("_row"))
+    return plain.union(one.select("_row.*"))
 
 
 def hex16(fp) -> Column:
