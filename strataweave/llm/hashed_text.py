@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 20
@@ -56,14 +56,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """Texts and labels for fitting, and how many ids each label has in all.
 
     At most ``per_class`` ids per label value (lowest hashes of the id, held-out ids excluded), texts of at most
-    ``max_chars`` characters: the bound on what reaches the driver. Of an id's several labels the largest holds, of its
+    ``max_chars`` characters, one an id: the bound on what reaches the driver. Every label value is taken, however many there are. Of an id's several labels the largest holds, of its
     several texts of that length the smallest; null labels, null ids and ids without a text teach nothing.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
-    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").limit(64).collect()}
-    ids = []
-    for y in sizes:
-        ids += [(r[0], y) for r in known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class).select(id_col).collect()]
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").collect()}
+    first = Window.partitionBy("y").orderBy(F.xxhash64(id_col), id_col)
+    ids = [(r[0], r[1]) for r in known.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= per_class).select(id_col, "y").collect()]
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = F.broadcast(docs.sparkSession.createDataFrame(ids, f"id {kind}, y int"))
     text = docs.where(F.length(text_col).between(1, max_chars)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
