@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.core.session import checkpoint_dir, table
+from strataweave.core.session import scratch, table
 from strataweave.llm import bpe, curve_ann, decontam, mil_toxicity, ordinal_quality, shards, simhash, token_rollup, toolcalls, warc
 from strataweave.llm.hashed_text import held_out
 
@@ -25,7 +23,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents: provisional counts arrive, exact counts revise them (committed twice), null and empty texts are deleted."""
     docs = table(spark, sf_dir, "documents")
-    ledger = token_rollup.TokenLedger(spark, f"{checkpoint_dir(spark)}/token-ledger-{uuid.uuid4().hex}")
+    ledger = token_rollup.TokenLedger(spark, scratch(spark, "token-ledger"))
     guess = (F.octet_length(F.coalesce("text", F.lit(""))) / 4).cast("bigint").alias("n_tokens")
     versions = F.explode(F.array(F.lit(BPE_VERSION), F.lit(WORD_VERSION))).alias("tokenizer")
     ledger.commit("arrive", docs.select("doc_id", "source", "lang", guess, versions))
@@ -56,6 +54,8 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of all conversations as tool use: an assistant's turn calls a tool, the user's next turn is its result; other turns are messages.
 
     The table has no calls of its own, so names and arguments follow from the turn's length, some of them wrong on purpose of the rule.
+    Dependencies follow from the turn: of every four calls the first needs the second, the third the first two, the fourth the third and the
+    call after it; a call whose text length divides by 11 needs itself, a cycle.
     """
     conv = table(spark, sf_dir, "conversations")
     n, turn = F.length("text"), F.col("turn")
@@ -69,7 +69,10 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 5 == 3, F.concat(F.lit('{"exact":true,"chars":'), n.cast("string"), F.lit("}")))
         .otherwise(F.concat(F.lit("chars "), n.cast("string")))
     )
-    calls = conv.where("role = 'assistant'").select("conv_id", "turn", ident(turn).alias("call_id"), name.alias("name"), args.alias("arguments"), F.array(ident(turn - 2)).alias("depends_on"))
+    q = F.floor((turn - 1) / 2) % 4
+    own = F.when(n % 11 == 0, ident(turn))
+    needs = F.when(q == 0, F.array(ident(turn + 2), own)).when(q == 2, F.array(ident(turn - 2), ident(turn - 4), own)).when(q == 3, F.array(ident(turn - 2), ident(turn + 2), own)).otherwise(F.array(own))
+    calls = conv.where("role = 'assistant'").select("conv_id", "turn", ident(turn).alias("call_id"), name.alias("name"), args.alias("arguments"), needs.alias("depends_on"))
     results = conv.where("role = 'user' and turn > 0").select("conv_id", "turn", ident(turn - 1).alias("call_id"), F.col("text").alias("content"))
     linked = toolcalls.link(calls, results, SCHEMAS)
     plain = conv.where("role is null or role not in ('assistant', 'user') or (role = 'user' and (turn <= 0 or turn is null))")
@@ -78,7 +81,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH c AS (SELECT *, length(text) AS n FROM conversations),
+WITH RECURSIVE c AS (SELECT *, length(text) AS n FROM conversations),
 q AS (SELECT conv_id, turn, role, text, n, 'call_' || conv_id || '_' || turn AS call_id, 'call_' || conv_id || '_' || (turn - 1) AS answers, to_json(text)::VARCHAR AS js FROM c),
 calls AS (
   SELECT conv_id, turn, call_id,
@@ -87,12 +90,20 @@ calls AS (
       WHEN 2 THEN '{"chars":' || n || ',"head":1}' WHEN 3 THEN '{"chars":' || n || ',"exact":true}' ELSE '"chars ' || n || '"' END AS args,
     CASE n % 5 WHEN 1 THEN 'missing:chars' WHEN 2 THEN 'type:head' WHEN 4 THEN 'unknown_tool' END AS bad
   FROM q WHERE role = 'assistant'),
-results AS (SELECT conv_id, turn, answers AS call_id, js FROM q WHERE role = 'user' AND turn > 0)
-SELECT conv_id, c.turn AS turn, 0 AS level, 'tool_call' AS kind, c.call_id AS call_id,
-  CASE WHEN bad IS NOT NULL THEN bad WHEN r.turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+results AS (SELECT conv_id, turn, answers AS call_id, js FROM q WHERE role = 'user' AND turn > 0),
+a AS (SELECT conv_id, turn, n, (turn - 1) // 2 % 4 AS k FROM q WHERE role = 'assistant'),
+needs AS (
+  SELECT conv_id, turn, turn + 2 AS dep FROM a WHERE k IN (0, 3) UNION ALL SELECT conv_id, turn, turn - 2 FROM a WHERE k IN (2, 3)
+  UNION ALL SELECT conv_id, turn, turn - 4 FROM a WHERE k = 2),
+edges AS (SELECT x.conv_id, x.turn, dep, CASE WHEN dep < x.turn THEN 0 ELSE 1 END AS step FROM needs x JOIN a y ON y.conv_id = x.conv_id AND y.turn = dep),
+chains AS (SELECT conv_id, turn, dep, step FROM edges UNION ALL SELECT c.conv_id, c.turn, e.dep, c.step + e.step FROM chains c JOIN edges e ON e.conv_id = c.conv_id AND e.turn = c.dep),
+below AS (SELECT conv_id, turn, max(step) AS level, bool_or(dep IN (SELECT b.turn FROM a b WHERE b.conv_id = chains.conv_id AND b.n % 11 = 0)) AS over FROM chains GROUP BY ALL),
+order_of AS (SELECT a.conv_id, a.turn, a.n % 11 = 0 OR coalesce(over, false) AS cyclic, coalesce(level, 0)::INT AS level FROM a LEFT JOIN below USING (conv_id, turn))
+SELECT conv_id, c.turn AS turn, CASE WHEN NOT cyclic THEN level END AS level, 'tool_call' AS kind, c.call_id AS call_id,
+  CASE WHEN cyclic THEN 'cycle' WHEN bad IS NOT NULL THEN bad WHEN r.turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
   sha256('{"arguments":' || args || ',"id":"' || c.call_id || '","name":"' || name || '","result":' ||
     CASE WHEN r.turn IS NULL THEN 'null' ELSE '{"content":' || r.js || ',"turn":' || r.turn || '}' END || ',"role":"tool_call"}') AS json_sha256
-FROM calls c LEFT JOIN results r USING (conv_id, call_id)
+FROM calls c LEFT JOIN results r USING (conv_id, call_id) JOIN order_of o ON o.conv_id = conv_id AND o.turn = c.turn
 UNION ALL
 SELECT conv_id, turn, 0, 'tool_result', call_id, 'orphan', sha256('{"content":' || js || ',"id":"' || call_id || '","role":"tool_result"}')
 FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
@@ -112,7 +123,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     back = warc.read_warc(spark, path)
     page = lambda c: F.expr(f"try_cast(split({c}, ':')[2] as bigint)")

@@ -1,9 +1,12 @@
 """Tool calls and their results, linked, ordered, validated and written as canonical JSON.
 
 Calls and results meet by (conversation, identifier) in one hash join. A call may name calls that it depends on; its level is the
-length of the longest chain below it, so (level, turn) is a topological order in which every call follows what it depends on and every result
-its call. Turns already are such an order where all dependencies point back, which one join shows; only the calls of other
-conversations are levelled round by round, and calls on a cycle (or above one) are marked. Arguments are validated against flat schemas.
+greatest number of dependencies against the order of turns on any chain below it (0 where all point back), so (level, turn) is a
+topological order in which every call follows what it depends on and every result its call. A call's level depends on the calls below it
+alone, whatever else its conversation holds. Calls on a cycle or above one have no place in an order: they are marked, their level is null.
+
+Runs of calls with a single dependency are skipped by pointer doubling, so only calls with several dependencies take rounds of their own: the number of
+rounds grows with the logarithm of the longest run, plus the longest chain of such calls. Arguments are validated against flat schemas.
 Each call, unmatched result or plain message is a line of canonical JSON (sorted keys, no spaces): no conversation is gathered into one row.
 
 DataFrame functions only.
@@ -55,35 +58,67 @@ def _number(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit("null"))
 
 
-def levels(calls: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level, cyclic) for calls (conv_id, call_id, turn, depends_on), ids not null and unique in their conversation.
 
-    Dependencies on calls that are not there are ignored. Levels are 0 in conversations whose turns already order them.
+    A dependency points back if its turn is smaller; any other, or one between unknown turns, counts one level. Dependencies on calls that
+    are not there are ignored, repeated ones count once. A call that depends on itself is a cycle.
     """
     edges = calls.select("conv_id", "call_id", "turn", F.explode("depends_on").alias("on")).where("on is not null").distinct()
     below = calls.select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn"))
-    edges = edges.join(below, ["conv_id", "on"])
-    odd = edges.where("on_turn is null or turn is null or on_turn >= turn").select("conv_id").distinct()
-    edges = cut_lineage(edges.join(odd, "conv_id", "left_semi").select("conv_id", "call_id", "on"))
-    level = calls.select(*KEY).withColumns({"level": F.lit(0), "cyclic": F.lit(False)})
+    step = F.when(F.coalesce(F.col("on_turn") < F.col("turn"), F.lit(False)), 0).otherwise(1)
+    edges = edges.join(below, ["conv_id", "on"]).select("conv_id", "call_id", "on", step.alias("step"))
+    # a conversation without a step against its turns is level 0 throughout: its chains add up to nothing
+    odd = edges.where("step = 1").select("conv_id").distinct()
+    edges = cut_lineage(edges.join(odd, "conv_id", "left_semi"))
+    flat = calls.select(*KEY)
     if edges.isEmpty():
-        return level
-    # Kahn's rounds over the odd conversations: what nothing pending lies below gets this round's number
-    pending = cut_lineage(calls.select(*KEY).join(odd, "conv_id", "left_semi"))
-    done = None
-    for r in range(max_rounds):
-        blocked = edges.join(pending.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"], "left_semi").select(*KEY).distinct()
-        rest = cut_lineage(pending.join(blocked, KEY, "left_semi"))
-        ready = pending.join(rest, KEY, "left_anti").withColumns({"lv": F.lit(r), "cy": F.lit(False)})
-        done = ready if done is None else done.union(ready)
-        left = rest.count()
-        if left == 0 or left == pending.count():
-            break
-        pending = rest
-    else:
-        raise RuntimeError("dependencies are deeper than max_rounds")
-    done = done.union(rest.withColumns({"lv": F.lit(r + 1), "cy": F.lit(True)})) if left else done
-    return level.join(done, KEY, "left").select(*KEY, F.coalesce("lv", "level").alias("level"), F.coalesce("cy", "cyclic").alias("cyclic"))
+        return flat.withColumns({"level": F.lit(0), "cyclic": F.lit(False)})
+    edges = cut_lineage(edges.join(edges.groupBy(*KEY).agg(F.count("*").alias("fan")), KEY))
+    single, several = edges.where("fan = 1").drop("fan"), edges.where("fan > 1").drop("fan")
+    runs = _skip_runs(single)
+    # what several calls depend on, seen through the runs: a call without dependencies, or one with several
+    through = runs.select("conv_id", F.col("call_id").alias("on"), F.col("on").alias("end"), F.col("step").alias("run"), F.col("cyclic"))
+    short = several.join(through, ["conv_id", "on"], "left").select(*KEY, F.coalesce("end", "on").alias("on"), (F.col("step") + F.coalesce("run", F.lit(0))).alias("step"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+    forks = _settle(cut_lineage(short))
+    ends = forks.select("conv_id", F.col("call_id").alias("on"), F.col("level").alias("at"), F.col("cyclic").alias("bad"))
+    of_runs = runs.join(ends, ["conv_id", "on"], "left").select(*KEY, (F.col("step") + F.coalesce("at", F.lit(0))).alias("level"), (F.col("cyclic") | F.coalesce("bad", F.lit(False))).alias("cyclic"))
+    known = of_runs.union(forks.select(*KEY, "level", "cyclic"))
+    cyclic = F.coalesce("cyclic", F.lit(False))
+    return flat.join(known, KEY, "left").select(*KEY, F.when(~cyclic, F.coalesce("level", F.lit(0))).alias("level"), cyclic.alias("cyclic"))
+
+
+def _skip_runs(single: DataFrame) -> DataFrame:
+    """Of calls with one dependency each: where their run ends (a call that is not in ``single``), the steps on the way, and whether it never ends."""
+    runs = cut_lineage(single.select(*KEY, "on", "step"))
+    most = max(runs.count(), 1).bit_length() + 1
+    for _ in range(most):
+        ahead = runs.select("conv_id", F.col("call_id").alias("on"), F.col("on").alias("next"), F.col("step").alias("more"))
+        hop = cut_lineage(runs.join(ahead, ["conv_id", "on"], "left"))
+        if hop.where("next is not null").isEmpty():
+            return hop.select(*KEY, "on", "step", F.lit(False).alias("cyclic"))
+        runs = hop.select(*KEY, F.coalesce("next", "on").alias("on"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"))
+    # after that many doublings a run that still ends in ``single`` goes round
+    inside = single.select("conv_id", F.col("call_id").alias("on"), F.lit(True).alias("cyclic"))
+    return runs.join(inside, ["conv_id", "on"], "left").select(*KEY, "on", "step", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def _settle(short: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level, cyclic) of the calls with several dependencies: in each round those whose dependencies are all known."""
+    done = short.select(*KEY, F.lit(0).alias("level"), F.lit(False).alias("cyclic")).limit(0)
+    pending = short
+    while not pending.isEmpty():
+        waiting = pending.select("conv_id", F.col("call_id").alias("on")).distinct()
+        blocked = pending.join(waiting, ["conv_id", "on"], "left_semi").select(*KEY).distinct()
+        ready = pending.join(blocked, KEY, "left_anti")
+        known = done.select("conv_id", F.col("call_id").alias("on"), F.col("level").alias("at"), F.col("cyclic").alias("bad"))
+        now = ready.join(known, ["conv_id", "on"], "left").groupBy(*KEY).agg(F.max(F.col("step") + F.coalesce("at", F.lit(0))).alias("level"), F.max(F.col("cyclic") | F.coalesce("bad", F.lit(False))).alias("cyclic"))
+        now = cut_lineage(now)
+        if now.isEmpty():
+            return done.union(pending.select(*KEY).distinct().withColumns({"level": F.lit(0), "cyclic": F.lit(True)}))
+        done = cut_lineage(done.union(now))
+        pending = cut_lineage(pending.join(now.select(*KEY), KEY, "left_anti"))
+    return done
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
