@@ -1,12 +1,12 @@
 """Benchmark decontamination: windows of normalised benchmark words, looked up in every document.
 
-The windows travel as a broadcast hash set. Its size is bounded: the benchmark is dealt into blocks of at
-most ``BLOCK_CHARS`` characters (an item longer than that is a block of its own), one broadcast per block, and a
-benchmark of several blocks is scanned block after block within the same narrow plan, each adding
-its hits to the row. No document is shuffled.
+The windows travel as a broadcast hash set. Its size is bounded: the benchmark is dealt into blocks of at most ``BLOCK_CHARS``
+bytes of words (a longer item into pieces that share ``window - 1`` words), one broadcast per block. Up to ``CHAIN`` blocks are scanned one after
+the other within one narrow plan, each adding its hits to the row; after that many the rows are checkpointed, so a task never
+holds more than CHAIN * BLOCK_CHARS bytes of benchmark, about 50 bytes a word, however large the benchmark is. No document is shuffled.
 
 A scan hashes each word once, combines runs of ``window`` word hashes with a rolling sum, screens them with a
-bitmap and compares the words of every survivor with the window itself.
+bitmap, looks the survivors up among the sorted window hashes and compares their words with the item's.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.core.session import bounded_batches
+from strataweave.core.session import bounded_batches, cut_lineage
 
 WINDOW = 10
 BLOCK_CHARS = 8_000_000
+CHAIN = 4
 SCREEN_BITS = 22
 PIECE = 1 << 22
 
@@ -46,31 +47,46 @@ def _slot(w: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """The windows of some items, by length; keys are word tuples, values the items that have them."""
+    """The windows of some items, by length: their hashes in order, and the item and place of each.
+
+    Only the items' texts travel. Words and hashes are made in the process that scans, for hashes of bytes are only equal within one process.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
-        self.by_length: dict[int, dict[tuple, list]] = {}
-        for item, text in items:
-            w = words_of(text)
-            n = min(window, len(w))
-            for i in range(len(w) - n + 1 if n else 0):
-                have = self.by_length.setdefault(n, {}).setdefault(tuple(w[i : i + n]), [])
-                if item not in have:
-                    have.append(item)
-        self.screens: dict[int, np.ndarray] | None = None
+        self.items, self.window, self.by_length = items, window, None
+
+    def __getstate__(self):
+        return {"items": self.items, "window": self.window, "by_length": None}
 
     def prepare(self) -> None:
-        """Bitmaps in the process that scans: bytes hashes are only equal within one process."""
-        self.screens = {}
-        for n, wins in self.by_length.items():
-            first = np.array([hash(x) for w in wins for x in w], np.int64).view(np.uint64).reshape(-1, n)
+        one: dict[bytes, bytes] = {}  # each distinct word once
+        self.words = [[one.setdefault(w, w) for w in words_of(text)] for _, text in self.items]
+        parts: dict[int, list] = {}
+        for i, words in enumerate(self.words):
+            n = min(self.window, len(words))
+            if n:
+                h = _roll(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64), n)
+                parts.setdefault(n, []).append((h, np.full(len(h), i, np.int32), np.arange(len(h), dtype=np.int32)))
+        self.by_length = {}
+        for n, found in parts.items():
+            h, item, at = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((item, h))
+            h, item, at = h[order], item[order], at[order]
+            # a window that an item repeats needs one entry
+            twin = np.flatnonzero((h[1:] == h[:-1]) & (item[1:] == item[:-1])) + 1
+            keep = np.ones(len(h), bool)
+            keep[[k for k in twin.tolist() if self._at(item[k], at[k], n) == self._at(item[k - 1], at[k - 1], n)]] = False
+            h, item, at = h[keep], item[keep], at[keep]
             bitmap = np.zeros(1 << SCREEN_BITS, bool)
-            bitmap[_slot(_roll_rows(first))] = True
-            self.screens[n] = bitmap
+            bitmap[_slot(h)] = True
+            self.by_length[n] = bitmap, h, item, at
+
+    def _at(self, item: int, at: int, n: int) -> list[bytes]:
+        return self.words[item][at : at + n]
 
     def scan(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], list]:
         """Words of the text, hit word ranges [from, to) in order and merged, items whose windows occur."""
-        if self.screens is None:
+        if self.by_length is None:
             self.prepare()
         total, ranges, items = 0, [], set()
         longest = max(self.by_length, default=1)
@@ -79,21 +95,21 @@ class Windows:
             if not self.by_length or not w:
                 continue
             h = np.fromiter(map(hash, w), np.int64, len(w)).view(np.uint64)
-            for n, wins in self.by_length.items():
-                for i in np.flatnonzero(self.screens[n][_slot(_roll(h, n))]).tolist():
-                    if (found := wins.get(tuple(w[i : i + n]))) is not None:
-                        items.update(found)
+            for n, (bitmap, known, item, at) in self.by_length.items():
+                rolled = _roll(h, n)
+                likely = np.flatnonzero(bitmap[_slot(rolled)])
+                if not len(likely):
+                    continue
+                lo, hi = (np.searchsorted(known, rolled[likely], side) for side in ("left", "right"))
+                for i, a, b in zip(likely.tolist(), lo.tolist(), hi.tolist()):
+                    own = w[i : i + n] if a < b else None
+                    hits = [item[k] for k in range(a, b) if self._at(item[k], at[k], n) == own]
+                    if hits:
+                        items.update(self.items[k][0] for k in hits)
                         ranges.append((base + i, base + i + n))
         return total, merge(ranges), list(items)
 
 
-def _roll_rows(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), np.uint64)
-    for k in range(rows.shape[1]):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + rows[:, k]
-    return out
-
-
 def _word_runs(text: bytes, overlap: int):
     """(index of the first word, words): whole texts, by pieces of bounded size that share ``overlap`` words."""
     if len(text) <= PIECE:
@@ -123,16 +139,34 @@ def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
-    """Benchmark rows in blocks of bounded size, one block at a time on the driver."""
+def _pieces(text: bytes, window: int):
+    """The item's words in texts of about ``BLOCK_CHARS`` bytes that share ``window - 1`` words, so that no window is lost."""
+    if len(text) <= BLOCK_CHARS:
+        yield text
+        return
+    held, size, given = [], 0, False
+    for w in words_of(text):
+        held.append(w)
+        size += len(w) + 1
+        if size >= BLOCK_CHARS and len(held) >= 4 * window:
+            yield b" ".join(held)
+            held, given = held[len(held) - window + 1 :], True
+            size = sum(map(len, held)) + len(held)
+    if not given or len(held) >= window:
+        yield b" ".join(held)
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int):
+    """Benchmark rows in blocks of bounded size, one block at a time on the driver; at least one, which may be empty."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where(F.col(text_col).isNotNull())
     block, chars = [], 0
     for r in rows.toLocalIterator():
-        if block and chars + len(r["text"]) > BLOCK_CHARS:
-            yield block
-            block, chars = [], 0
-        block.append((r["item"], bytes(r["text"])))
-        chars += len(r["text"])
+        for text in _pieces(bytes(r["text"]), window):
+            if block and chars + len(text) > BLOCK_CHARS:
+                yield block
+                block, chars = [], 0
+            block.append((r["item"], text))
+            chars += len(text)
     yield block
 
 
@@ -149,13 +183,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     out = docs.withColumn("_hits", F.lit(None).cast(kind))
     names = out.columns
     at, into = names.index(text_col), names.index("_hits")
-    blocks = _blocks(benchmark, item_col, bench_text_col)
-    block = next(blocks)
+    blocks = _blocks(benchmark, item_col, bench_text_col, window)
+    block, chained = next(blocks), 0
     while block is not None:
         after = next(blocks, None)
         drop = after is None and not keep_text
         out = out.mapInArrow(_scanner(sc.broadcast(Windows(block, window)), at, into, drop), out.drop(text_col).schema if drop else out.schema)
-        block = after
+        block, chained = after, chained + 1
+        if block is not None and chained % CHAIN == 0:
+            out = cut_lineage(out)
     return out
 
 
