@@ -1,8 +1,9 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed deltas.
 
 A ledger folder has two tables, each with a folder per batch: ``entries`` (signed rows per document: +1 and its tokens, or their
-reversal) and ``rollup`` (the batch's sums, the deltas). The totals are the sum of the committed rollups, so a commit costs what its batch and the
-documents in it cost, not the corpus. A batch is committed once its rollup is complete (Spark's _SUCCESS mark). Committing the same
+reversal) and ``rollup`` (the batch's sums, the deltas). The totals are the sum of the committed rollups. Entries lie in ``BUCKETS``
+folders by a hash of the document's id, and a commit reads those of the batch's ids only: a small batch reads a small share of the entries, a batch of
+a large part of the corpus reads them all. A batch is committed once its rollup is complete (Spark's _SUCCESS mark). Committing the same
 batch again changes nothing; a commit that broke off is written anew over its remains. One writer at a time.
 """
 
@@ -12,14 +13,20 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.core.session import bounded_batches
+from strataweave.core.session import bounded_batches, cut_lineage
 
 ENTRY = "doc_id bigint, source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
 DELTA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
 DIMS = ("source", "lang", "tokenizer")
+BUCKETS = 256
+
+
+def _bucket() -> Column:
+    """The entries folder of a document; those without an id lie in one that is never read."""
+    return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"), F.lit(-1))
 
 
 def bpe_counter(path: str | None = None) -> Callable[[str], int]:
@@ -70,7 +77,7 @@ class TokenLedger:
 
     def _read(self, table: str, schema: str) -> DataFrame:
         paths = [self._at(table, b) for b in self.committed()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def commit(self, batch: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
         """Applies a batch; False if it was committed before.
@@ -84,10 +91,16 @@ class TokenLedger:
             return False
         empty = self.spark.createDataFrame([], "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint")
         new = (upserts if upserts is not None else empty).select(F.col("doc_id").cast("bigint"), "source", "lang", "tokenizer", F.col("n_tokens").cast("bigint"))
+        # counting tokens may be dear, and what follows reads the rows several times
+        new = cut_lineage(new)
         nameless = new.where("doc_id is null").select("doc_id", "source", "lang", "tokenizer", F.lit(1).cast("bigint").alias("n_docs"), "n_tokens")
         best = new.where("doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(F.struct("n_tokens", "source", "lang")).alias("b"))
         best = best.select("doc_id", "b.source", "b.lang", "tokenizer", F.lit(1).cast("bigint").alias("n_docs"), "b.n_tokens")
-        known = self._read("entries", ENTRY).where("doc_id is not null")
+        named = best.select("doc_id")
+        if deletes is not None:
+            named = named.union(deletes.select(F.col("doc_id").cast("bigint")).where("doc_id is not null"))
+        buckets = [r[0] for r in named.select(_bucket()).distinct().collect()]
+        known = self._read("entries", ENTRY + ", bucket int").where(F.col("bucket").isin(buckets)).select(*best.columns)
         touched = known.join(best.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
         if deletes is not None:
             gone = deletes.select(F.col("doc_id").cast("bigint")).where("doc_id is not null").distinct()
@@ -95,7 +108,9 @@ class TokenLedger:
             touched = touched.unionByName(others)
         live = touched.groupBy("doc_id", *DIMS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         back = live.where("n_docs != 0 or n_tokens != 0").select("doc_id", *DIMS, (-F.col("n_docs")).alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens"))
-        best.unionByName(back).unionByName(nameless).write.mode("overwrite").parquet(self._at("entries", batch))
+        # rows of one folder meet in a few tasks, so a batch writes few files
+        entries = best.unionByName(back).unionByName(nameless).withColumn("bucket", _bucket()).repartition("bucket", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(4)))
+        entries.write.mode("overwrite").partitionBy("bucket").parquet(self._at("entries", batch))
         own = self.spark.read.schema(ENTRY).parquet(self._at("entries", batch))
         sums = own.groupBy(*DIMS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         sums.where("n_docs != 0 or n_tokens != 0").write.mode("overwrite").parquet(self._at("rollup", batch))
