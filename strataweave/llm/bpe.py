@@ -5,7 +5,9 @@ documents). Within a block every pre-token gets a number in order of first use,
 sequence of numbers: the positions, packed as varints.
 
 1. The block's distinct words go to word buckets (by CRC-32 of the word), packed per block and bucket. A bucket
-   meets each of its distinct words from all blocks, runs BPE on it once and answers each block.
+   meets each of its distinct words from all blocks, runs BPE on it once and answers each block. There are at most ``MOST_BUCKETS`` buckets, so that
+   packed rows grow with the blocks only, and a bucket's word table holds at most ``MEMO_BYTES`` bytes of words and ids: beyond that it is emptied, and a word that
+   comes again is encoded again.
 2. Answers and packed documents meet by block; ids are laid out by position.
 
 No text is shuffled. A block's name is a digest of its rows, so if the input were ever read in another order by
@@ -31,7 +33,9 @@ from strataweave.core.session import bounded_batches
 
 BLOCK_CHARS = 12_000_000
 CHUNK_BYTES = 1 << 20
-BUCKETS = 96
+BUCKETS, MOST_BUCKETS = 96, 4096
+BUCKET_BYTES = 64 << 20
+MEMO_BYTES = 96 << 20
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -137,16 +141,15 @@ def _numbering() -> defaultdict:
     return d
 
 
-def _buckets_for(docs: DataFrame) -> int:
-    """One word bucket for every 64 MB that the plan reads, by Catalyst's estimate, so that a bucket's word table stays small.
-
-    A plan that has no estimate (rows from memory or a checkpoint) gets ``BUCKETS``; pass ``buckets`` for a large one.
-    """
+def _buckets_for(docs: DataFrame, text_col: str) -> int:
+    """One word bucket for every 64 MB of input, ``BUCKETS`` at least and ``MOST_BUCKETS`` at most: by Catalyst's estimate, or where it has none (rows from memory or a checkpoint) by the texts' own bytes."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return BUCKETS if size >= 1 << 60 else min(max(BUCKETS, size // (64 << 20)), 200_000)
+    if size >= 1 << 60:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return min(max(BUCKETS, size // BUCKET_BYTES), MOST_BUCKETS)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, buckets: int | None = None, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, buckets: int | None = None, decoded: bool = False, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """(id, n_tokens, ids): ``ids`` is binary, little-endian unsigned 32-bit (see ``as_array``). With ``decoded`` also the bytes that the ids stand for, as ``decode`` gives them.
 
     Every row gives one row, repeated ids too; a null text is an empty one; extra columns are left behind.
@@ -156,7 +159,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
     bounded_batches(docs.sparkSession)
     path, pattern = path or vocabulary_path(), pattern or public_tokenizers.PATTERN
-    buckets = buckets or _buckets_for(docs)
+    buckets = buckets or _buckets_for(docs, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -181,19 +184,23 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
     def answer(batches):
         """Rows sorted by bucket: one word table at a time."""
-        piece, seen, bucket = _encoder(path, pattern)._encode_single_piece, {}, None
+        piece, seen, bucket, held = _encoder(path, pattern)._encode_single_piece, {}, None, 0
         unpress = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for k, name, numbers, lens, blob in zip(*(c.to_pylist() for c in b.columns)):
                 if k != bucket:
-                    bucket, seen = k, {}
+                    bucket, seen, held = k, {}, 0
                 text, ids, n_ids, at = unpress(blob), [], [], 0
                 for n in unpack(lens).tolist():
                     w = text[at : at + n]
                     at += n
                     got = seen.get(w)
                     if got is None:
-                        got = seen[w] = tuple(piece(w))
+                        got = tuple(piece(w))
+                        held += 150 + n + 8 * len(got)
+                        if held > memo_bytes:
+                            seen, held = {}, 150 + n + 8 * len(got)
+                        seen[w] = got
                     ids.extend(got)
                     n_ids.append(len(got))
                 yield pa.RecordBatch.from_pydict({"block": pa.array([name], pa.binary()), "kind": pa.array([0], pa.int32()), "seq": pa.array([k], pa.int32()), "ids": pa.array([None], ids_type), "numbers": pa.array([numbers], pa.binary()), "lens": pa.array([pack(np.array(n_ids))], pa.binary()), "blob": pa.array([pack(np.array(ids))], pa.binary())})
