@@ -1,9 +1,10 @@
 """Shards cut from a Hilbert ordering of several metadata columns, so that files prune on each of them.
 
 Every dimension is quantised to ``2**bits`` cells: categories by a hash (equal values share a cell), numbers by the logarithm of
-their size. The global position of a row is found without a global sort: rows are counted per (curve index, hash bucket), of which
-there are at most 2**(dims*bits) * SUB; running sums over those counts give each bucket its offset, and rows are numbered within
-their bucket. A hot cell (one source with a third of all rows) is thus spread over SUB buckets.
+their size. The global position of a row is found without a global sort: rows are counted per curve index, of which there are at
+most 2**(dims*bits), and a cell is dealt by a hash into so many buckets that one holds about ``PER_BUCKET`` rows, ``SUB`` at least. Running sums over
+the buckets' counts give each its offset, and rows are numbered within their bucket. A hot cell (one source with a third of all rows) is
+thus spread over as many tasks as its rows need, at any size.
 
 DataFrame operations only.
 """
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from strataweave.llm.hilbert import with_hilbert
 
 BITS = 4
-SUB = 256
+SUB = 64
+PER_BUCKET = 1 << 16
 
 
 def category_cell(c: Column | str, bits: int = BITS) -> Column:
@@ -30,32 +32,36 @@ def log_cell(c: Column, bits: int = BITS, largest: float = 1e9) -> Column:
     return F.least(step, F.lit((1 << bits) - 1)).cast("int")
 
 
-def hilbert_shards(docs: DataFrame, cells: dict[str, Column], n_shards: int, tie: list[str], bits: int = BITS, sub: int = SUB) -> DataFrame:
+def hilbert_shards(docs: DataFrame, cells: dict[str, Column], n_shards: int, tie: list[str], bits: int = BITS, sub: int = SUB, per_bucket: int = PER_BUCKET) -> DataFrame:
     """``docs`` with ``_shard`` (0 to n_shards-1), ``_slot`` (gapless from 0 in the shard) and ``_curve``.
 
     Rows in curve order are cut into runs whose row counts differ by one at most. Ties within a curve index are broken by the hash of
     the ``tie`` columns, then by them; rows equal in all of those are alike, so it makes no difference which comes first. Nulls
-    have their own place. An empty table gives no row; extra columns pass through.
+    have their own place. An empty table gives no row; extra columns pass through, whatever their names, but ``_shard``, ``_slot`` and ``_curve``,
+    which are replaced.
     """
-    names = [f"_cell_{i}" for i in range(len(cells))]
-    df = docs.withColumns(dict(zip(names, cells.values())))
-    df = with_hilbert(df, names, bits).drop(*names).withColumn("_sub", F.pmod(F.xxhash64(*tie), F.lit(sub)).cast("int"))
-    counts = df.groupBy("_curve", "_sub").agg(F.count("*").alias("_n"))
-    cell = counts.groupBy("_curve").agg(F.sum("_n").alias("_cell_n"))
-    # at most 2**(dims*bits) rows meet in this window, whatever the table's size
-    before = Window.orderBy("_curve").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_curve").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cell = cell.select("_curve", F.coalesce(F.sum("_cell_n").over(before), F.lit(0)).alias("_cell_at"), F.sum("_cell_n").over(everything).alias("_total"))
-    within = Window.partitionBy("_curve").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_sub_at", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(cell, "_curve")
-    starts = starts.select("_curve", "_sub", (F.col("_cell_at") + F.col("_sub_at")).alias("_at"), "_total")
-    order = Window.partitionBy("_curve", "_sub").orderBy(*[F.col(t) for t in tie])
-    ranked = df.withColumn("_in", F.row_number().over(order) - 1).join(starts, ["_curve", "_sub"])
-    rank = F.col("_at") + F.col("_in")
+    mark = "_"
+    while any(c.startswith(f"{mark}hs_") for c in docs.columns):
+        mark += "_"
+    cell_of, bucket, dealt, n, at, before_it, inside, total = (f"{mark}hs_{x}" for x in ("cell", "bucket", "dealt", "n", "at", "before", "inside", "total"))
+    names = [f"{mark}hs_{i}" for i in range(len(cells))]
+    df = docs.drop("_shard", "_slot", "_curve").withColumns(dict(zip(names, cells.values())))
+    df = with_hilbert(df, names, bits, cell_of).drop(*names)
+    # at most 2**(dims*bits) rows, whatever the table's size: they may meet in one window and be broadcast
+    cell = df.groupBy(cell_of).agg(F.count("*").alias(n))
+    before = Window.orderBy(cell_of).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy(cell_of).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cell = cell.select(cell_of, F.greatest(F.lit(sub), F.ceil(F.col(n) / per_bucket)).cast("int").alias(dealt), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(at), F.sum(n).over(everything).alias(total))
+    df = df.join(F.broadcast(cell), cell_of).withColumn(bucket, F.pmod(F.xxhash64(*tie), F.col(dealt)).cast("int"))
+    counts = df.groupBy(cell_of, bucket).agg(F.count("*").alias(n))
+    within = Window.partitionBy(cell_of).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(cell_of, bucket, F.coalesce(F.sum(n).over(within), F.lit(0)).alias(before_it))
+    order = Window.partitionBy(cell_of, bucket).orderBy(*[F.col(t) for t in tie])
+    ranked = df.withColumn(inside, F.row_number().over(order) - 1).join(starts, [cell_of, bucket])
+    rank = f"({at} + {before_it} + {inside})"
     # whole numbers: a quotient of doubles may fall on the wrong side of a cut
-    shard = F.expr(f"(_at + _in) * {n_shards} div _total")
-    first = F.expr(f"(((_at + _in) * {n_shards} div _total) * _total + {n_shards - 1}) div {n_shards}")
-    return ranked.withColumns({"_shard": shard.cast("int"), "_slot": (rank - first).cast("bigint")}).drop("_sub", "_in", "_at", "_total")
+    shard, first = f"({rank} * {n_shards} div {total})", f"(({rank} * {n_shards} div {total}) * {total} + {n_shards - 1}) div {n_shards}"
+    return ranked.select(*[c for c in docs.columns if c not in ("_shard", "_slot", "_curve")], F.expr(f"cast({shard} as int)").alias("_shard"), F.expr(f"cast({rank} - {first} as bigint)").alias("_slot"), F.col(cell_of).alias("_curve"))
 
 
 def document_cells() -> dict[str, Column]:
