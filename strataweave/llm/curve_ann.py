@@ -10,15 +10,19 @@ The window is a share of the table, so the work grows as queries x rows: vectors
 have no neighbours that a window of constant length would find (see the README for the recall measured). It covers at
 least ``LEAST`` distinct vectors a side; a smaller table is searched whole.
 
-Equal vectors are one entry that carries its smallest ids, so copies are neither compared nor repeated.
+Equal vectors are one entry that carries its smallest ids, so copies are neither compared nor repeated. Vectors of different length have no
+distance: those of each length are searched among themselves. Vectors of floats travel as floats; distances are doubles.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from strataweave.core.session import cut_lineage
 from strataweave.core.skew import hot_keys, salted_join
@@ -32,18 +36,13 @@ SAMPLE = 16_384
 
 
 def clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) that take part: no null, non-finite or zero vectors, no null ids; of several lengths, the commonest (the smaller of equals)."""
+    """(id, vec) that take part: no null, non-finite or zero vectors, no null ids."""
     v = F.col(vec_col)
     fit = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf"))) & F.exists(v, lambda x: x != 0)
     good = vectors.where(F.col(id_col).isNotNull() & F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id"), v.cast("array<double>").alias("vec"))
     return good
 
 
-def _dims(good: DataFrame) -> int:
-    best = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return best["d"] if best else 0
-
-
 class Curves:
     """Projections, scales and cuts of all curves, from a sample of the distinct vectors."""
 
@@ -104,13 +103,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     count once. Extra columns are not looked at.
     """
     spark = vectors.sparkSession
-    flagged = clean(vectors.withColumn("_q", F.coalesce(is_query, F.lit(False))), id_col, vec_col)
+    good = clean(vectors, id_col, vec_col).distinct().withColumns({"v": F.xxhash64("vec"), "d": F.size("vec")})
+    good = cut_lineage(good)
     query_ids = vectors.where(is_query & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id")).distinct()
-    d = _dims(flagged)
-    schema = "query_id bigint, rank int, id bigint, distance double"
-    if not d:
-        return spark.createDataFrame([], schema)
-    good = cut_lineage(flagged.where(F.size("vec") == d).distinct().withColumn("v", F.xxhash64("vec")))
+    lengths = [r[0] for r in good.join(query_ids, "id").select("d").distinct().orderBy("d").collect()]
+    kind = np.dtype("<f4" if isinstance(vectors.schema[vec_col].dataType.elementType, FloatType) else "<f8")
+    found = [_search(spark, good.where(F.col("d") == d), query_ids, d, k, curves, window, kind) for d in lengths]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id bigint, rank int, id bigint, distance double")
+
+
+def _search(spark: SparkSession, good: DataFrame, query_ids: DataFrame, d: int, k: int, curves: int, window: float, kind: np.dtype) -> DataFrame:
+    """``search`` among vectors of one length ``d``: good(id, vec, v)."""
     low = Window.partitionBy("vec").orderBy("id")
     few = good.withColumn("rn", F.row_number().over(low)).where(F.col("rn") <= k + 1)
     entries = few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
@@ -137,7 +140,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
                         yield rows(i * c.blocks + to[ok], e[ok], x[ok], np.ones(int(ok.sum()), bool))
 
     def rows(slot, e, x, asks):
-        return pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(e), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(asks)], names=["slot", "e", "vec", "asks"])
+        return pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(e), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), pa.array(asks)], names=["slot", "e", "vec", "asks"])
 
     def compare(batches):
         """Rows sorted by slot, a slot at a time."""
@@ -158,7 +161,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     def slot_of(held):
         t = pa.Table.from_batches(held)
         e, asks = t.column("e").to_numpy(), t.column("asks").to_numpy()
-        x = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float64).reshape(-1, d)
+        x = np.frombuffer(b"".join(t.column("vec").to_pylist()), kind).astype(np.float64).reshape(-1, d)
         if not asks.any() or asks.all():
             return
         base, own = x[~asks], e[~asks]
