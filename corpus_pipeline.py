@@ -1,16 +1,19 @@
 """A corpus from raw documents to token ids: every stage works on all that the one before it kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's docs.
+
+What every stage does with odd rows: a null text counts as an empty one; an empty text has the model's score for no words, toxicity 0, fingerprint
+zero, no benchmark window and no tokens; long texts are taken whole. Repeated rows are scored alike, and one of them stays among near duplicates; a
+null id is kept and counts as any row. An empty table stays empty. Further columns pass through all stages but the last, whatever their
+names, but for the stage's own (_quality, _toxic, _fp, _text, _order, _hits).
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.core.session import checkpoint_dir, table
+from strataweave.core.session import remove, scratch, table
 from strataweave.llm import bpe, decontam, mil_toxicity, ordinal_quality, simhash
 
 KEEP_TAIL = 0.5
@@ -30,8 +33,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of linked fingerprints, the one with the smallest id; of repeated rows one."""
+    return simhash.keep_one_row(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, base = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, base, before = table(spark, sf_dir, "documents"), scratch(spark, "pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
