@@ -203,7 +203,9 @@ def links(fps: DataFrame, n: int, radius: int = 4) -> DataFrame:
         a, b = _meet(fps, key[0].as_py(), bits, half, radius)
         return pa.table({"src": pa.array(a.view(np.int64)), "dst": pa.array(b.view(np.int64))})
 
-    return fps.select("fp").mapInArrow(emit, "bucket int, fps binary").groupBy("bucket").applyInArrow(meet, "src bigint, dst bigint")
+    # as many tasks as there are buckets: their bytes are few for the work they make, so they are not to be merged by size
+    tasks = min(max(1 << bits, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 20_000)
+    return fps.select("fp").mapInArrow(emit, "bucket int, fps binary").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(meet, "src bigint, dst bigint")
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame, list, DataFrame]:
