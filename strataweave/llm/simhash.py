@@ -264,7 +264,7 @@ def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Exactly one row of ``docs`` for each component: of the rows with its smallest id (of all its rows, if no id is known) the first by fingerprint, text and the other columns as JSON.
 
     So repeated rows, repeated ids and rows without an id leave one document a group too. Only rows of repeated or null ids
-    are fingerprinted twice; the others are decided by their id. An empty table stays empty. Columns called _fp, _text or _order are not allowed.
+    are fingerprinted twice; the others are decided by their id. An empty table stays empty; other columns pass through, whatever their names.
     """
     found, of_fp, hot, counts = _groups(docs, id_col, text_col, shingle, radius)
     near = salted_join(found, of_fp, "fp", F.col("id"), hot)
@@ -275,13 +275,13 @@ def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if several.isEmpty() and docs.where(F.col(id_col).isNull()).isEmpty():
         return plain
     again = docs.where(F.col(id_col).isNull()).union(docs.join(several, id_col, "left_semi").select(*docs.columns))
-    again = _with_fingerprint(again, text_col, shingle)
-    again = salted_join(again.withColumnRenamed("_fp", "fp"), of_fp, "fp", F.col(text_col), hot)
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    order = F.struct(F.col("fp"), F.col(text_col), F.to_json(F.struct(*map(F.col, others))) if others else F.lit(0))
-    fit = again.where(F.col("component_id").isNull() | (F.col(id_col) == F.col("component_id")))
-    one = fit.groupBy("root").agg(F.min_by(F.struct(*map(F.col, docs.columns)), order).alias("_row"))
-    return plain.union(one.select("_row.*"))
+    row = F.struct(*map(F.col, docs.columns))
+    again = _with_fingerprint(again.select(row.alias("_row"), F.col(text_col).alias("_words")), "_words", shingle).drop("_words").withColumnRenamed("_fp", "fp")
+    again = salted_join(again, of_fp, "fp", F.xxhash64(f"_row.{text_col}"), hot)
+    others = [F.col(f"_row.{c}") for c in docs.columns if c not in (id_col, text_col)]
+    order = F.struct(F.col("fp"), F.col(f"_row.{text_col}"), F.to_json(F.struct(*others)) if others else F.lit(""))
+    fit = again.where(F.col("component_id").isNull() | (F.col(f"_row.{id_col}") == F.col("component_id")))
+    return plain.union(fit.groupBy("root").agg(F.min_by("_row", order).alias("_row")).select("_row.*"))
 
 
 def hex16(fp) -> Column:

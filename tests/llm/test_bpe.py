@@ -65,3 +65,24 @@ def test_empty_table_arrays_and_bad_ids(spark):
     bad = spark.createDataFrame([(bytearray(struct.pack("<I", 4_000_000)),)], "ids binary")
     with pytest.raises(Exception, match="no token"):
         bpe.decode(bad).collect()
+
+
+def test_full_word_tables_are_emptied(spark, enc):
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(200)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.ids for r in bpe.encode(docs, block_chars=2000, buckets=3, memo_bytes=5000).collect()}
+    for i, t in enumerate(texts):
+        ids = enc.encode_ordinary(t)
+        assert bytes(got[i]) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_buckets_follow_the_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(300)], "doc_id bigint, text string")
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 1000)
+    from strataweave.core.session import cut_lineage
+
+    assert bpe._buckets_for(cut_lineage(docs), "text") == 300
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 10)
+    assert bpe._buckets_for(cut_lineage(docs), "text") == bpe.MOST_BUCKETS
+    assert bpe._buckets_for(docs.limit(0), "text") >= bpe.BUCKETS

@@ -134,3 +134,95 @@ def test_sample_takes_one_text_of_repeated_ids(spark):
     texts, y, sizes = labelled_sample(docs, labels, "toxic", 10, 100)
     assert list(np.bincount(y)) == [10, 10] and all(t.startswith("a ") for t in texts)
     assert all(int(t[2:]) % 2 == k for t, k in zip(texts, y))
+
+
+def test_every_grade_is_sampled_and_repeats_change_nothing(spark):
+    docs = spark.createDataFrame([(i, f"t{i} w{i % 100}") for i in range(1000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 100) for i in range(1000)], "doc_id bigint, quality int")
+    texts, y, sizes = labelled_sample(docs, labels, "quality", 5, 100)
+    assert set(y.tolist()) == set(range(100)) == set(sizes) and max(np.bincount(y)) <= 5
+    six = docs
+    for _ in range(5):
+        six = six.union(docs)
+    again = labelled_sample(six, labels, "quality", 5, 100)
+    assert again[0] == texts and (again[1] == y).all() and again[2] == sizes
+    hot = docs.union(spark.range(5000).selectExpr("7L as doc_id", "concat('t7 w', id) as text"))
+    texts, y, _ = labelled_sample(hot, labels, "quality", 5, 100)
+    assert len(texts) == len(y) <= 500 and len(set(texts)) == len(texts)
+
+
+def test_repeated_rows_keep_the_toxic_class(spark):
+    rnd = random.Random(9)
+    rows = [(i, text(rnd, 6, *(["vilewort"] if i % 4 == 0 else [])), int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 6, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    out = mil_toxicity.score(docs, mil_toxicity.fit(docs, labels, per_class=40))
+    got = {r.doc_id: r.p for r in out.selectExpr("doc_id", "_toxic.score >= 0.5 as p").collect()}
+    assert sum(got[i] == bool(y) for i, _, y in rows) >= 396
+
+
+def plain_worth(text, model):
+    """The worth of a text, from its definition: no tables, no memo."""
+    import re
+
+    import xxhash
+
+    weight = dict(zip(model.slots.tolist(), model.weights.tolist()))
+    words = re.findall(r"\S+", text)
+    if not words:
+        return float(model.whole[1] + model.whole[3])
+    total = 0.0
+    for w in words:
+        for f in ("w" + w.lower(), "s" + shape(w), "e" + w[-2:]):
+            total += weight.get(xxhash.xxh32_intdigest(f.encode("utf-8", "surrogatepass"), 7) % 2**20, 0.0)
+    whole = [np.log1p(len(words)) / 8, len(set(words)) / len(words), min(sum(len(w) for w in words) / len(words), 40) / 8, 0.0]
+    return total / len(words) + float(np.dot(whole, model.whole))
+
+
+def plain_toxicity(text, model):
+    import re
+
+    import xxhash
+
+    weight = dict(zip(model.slots.tolist(), model.weights.tolist()))
+    none = 1.0
+    for piece in re.split(r"[.!?\n]+", text):
+        words = re.findall(r"\w+", piece.lower())
+        for k in range(0, len(words), 48):
+            total = model.bias
+            for w in set(words[k : k + 48]):
+                for f in ["w" + w, *(["4" + w[:4]] if len(w) > 4 else []), *(["5" + w[:5]] if len(w) > 5 else [])]:
+                    total += weight.get(xxhash.xxh32_intdigest(f.encode("utf-8", "surrogatepass"), 7) % 2**20, 0.0)
+            none *= 1 - 1 / (1 + np.exp(-np.clip(total, -60, 60)))
+    return 1 - none
+
+
+def test_op4_query_against_brute_force(spark, sf):
+    from strataweave.llm import queries
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = ordinal_quality.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in queries.op4_quality(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        tails = 1 / (1 + np.exp(-(plain_worth(t, model) - model.thresholds)))
+        grade = model.grades[0] + sum((b - a) * p for a, b, p in zip(model.grades, model.grades[1:], tails))
+        assert abs(got[i].tail_probability - tails[0]) < 1e-9 and abs(got[i].expected_grade - grade) < 1e-9
+        assert got[i].keep == (tails[0] >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_op6_query_against_brute_force(spark, sf):
+    from strataweave.llm import queries
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = mil_toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in queries.op6_toxicity(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        p = plain_toxicity(t, model)
+        assert abs(got[i].score - p) < 1e-9 and got[i].predicted == int(got[i].score >= 0.5)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        if got[i].n_offending:
+            assert 0 <= got[i].worst_from < got[i].worst_to <= len(t)

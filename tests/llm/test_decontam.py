@@ -64,3 +64,26 @@ def test_removal(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
     cut = {r.doc_id: r.text for r in decontam.remove_spans(d, b).where("doc_id in (4, 6, 1)").collect()}
     assert cut[4] == "before  after" and cut[6] == "" and cut[1] is None
+
+
+def test_large_benchmark_in_bounded_plans(spark, monkeypatch):
+    """Many blocks: checkpoints between chains of them; items longer than a block come in pieces that lose no window."""
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(decontam, "CHAIN", 2)
+    long_item = " ".join(f"w{i % 97}x{i // 97}" for i in range(400))
+    w = long_item.split()
+    docs = [(k, " ".join(["pre", *w[k : k + 10], "post"])) for k in range(0, 391, 30)] + [(1000, " ".join(w[5:14])), (1001, "tiny"), (1002, long_item)]
+    check(spark, docs, [(1, long_item), (2, "tiny"), (3, long_item.upper()), (4, "p " * 500)])
+    pieces = list(decontam._pieces(long_item.encode(), 10))
+    assert len(pieces) > 5
+    grams = lambda x: {tuple(x[i : i + 10]) for i in range(len(x) - 9)}
+    assert set().union(*(grams(p.split()) for p in pieces)) == grams(long_item.encode().split())
+
+
+def test_windows_with_equal_hashes_are_told_apart(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(decontam, "_roll", lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64))
+    w = decontam.Windows([("a", b"one two three"), ("b", b"four five six"), ("a", b"one two nine")], 3)
+    assert w.scan(b"zero four five six one two nine") == (7, [(1, 7)], w.scan(b"zero four five six one two nine")[2])
+    assert sorted(w.scan(b"zero four five six one two nine")[2]) == ["a", "b"] and w.scan(b"one two four")[1] == []

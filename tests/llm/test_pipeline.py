@@ -48,3 +48,33 @@ def test_stages_on_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls in every column, empty and very long texts, repeated rows and clashing columns: a defined result at every stage."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = docs.where("length(text) > 200").orderBy("doc_id").first()
+    long = " ".join([good.text] * 200)
+    rows = [tuple(good), tuple(good), (None, good.text, None, None, None), (9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "", "en", "s", 0), (9004, long, "en", "s", len(long)), (None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, docs.schema).selectExpr("*", "'mine' as tail", "1 as score", "2 as n_tokens", "3 as ids", "'c' as component_id", "4 as items")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns
+        got = out.collect()
+        assert all(r.tail == "mine" and r.items == 4 for r in got)
+        if name == "quality":
+            kept = [r.text for r in got]
+            assert kept.count(good.text) in (0, 3) and kept.count("") + kept.count(None) in (0, 4)
+        elif name == "toxicity":
+            assert len(got) in (8, 5, 7, 4) and sum(r.text in (None, "") for r in got) == 4
+        elif name == "near_duplicates":
+            assert sorted(r.doc_id for r in got) in ([good.doc_id, 9001], [good.doc_id, 9001, 9004])
+        else:
+            assert sum(r.text in (None, "") for r in got) == 4
+    out = {}
+    for r in corpus_pipeline.tokens(spark, odd, sf).collect():
+        out.setdefault(r.doc_id, []).append(r)
+    assert {k: len(v) for k, v in out.items()} == {good.doc_id: 2, None: 2, 9001: 1, 9002: 1, 9003: 1, 9004: 1}
+    assert out[9001][0].n_tokens == out[9002][0].n_tokens == 0
+    assert out[good.doc_id][0].ids_sha256 in {r.ids_sha256 for r in out[None]}
+    assert out[9004][0].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()

@@ -55,3 +55,33 @@ def test_written_shards_prune(spark, sf, tmp_path):
 def test_query_columns(spark, sf):
     df = queries.op9_hilbert_shards(spark, sf)
     assert dict(df.dtypes) == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+
+
+def test_no_input_column_clashes(spark):
+    names = ["_curve", "_sub", "_in", "_at", "_total", "_shard", "_slot", "_hs_cell", "__hs_n", "shard", "slot"]
+    docs = spark.createDataFrame([(i, f"t{i}", "en", "s", 4) for i in range(40)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = cut(docs.withColumns({c: F.lit(f"mine {c}") for c in names}))
+    assert got.columns == [*docs.columns, *[c for c in names if c not in ("_shard", "_slot", "_curve")], "_shard", "_slot", "_curve"]
+    rows = got.collect()
+    law(rows, 16)
+    assert all(r[c] == f"mine {c}" for r in rows for c in names if c not in ("_shard", "_slot", "_curve"))
+
+
+def test_a_hot_cell_takes_as_many_buckets_as_it_needs(spark):
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('t', id) as text", "'en' as lang", "'hot' as source", "4L as n_chars")
+    rows = cut(docs, sub=1, per_bucket=100).collect()
+    law(rows, 16)
+    assert len(rows) == 6000 and len({r._curve for r in rows}) == 1
+
+
+def test_query_against_brute_force(spark, sf):
+    import zlib
+
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op9_hilbert_shards(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    assert all(r["size"] == len(docs[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(docs[r.doc_id]) and r.law == "rows" and r.grown_shard is None for r in got)
+    sizes = Counter(r.shard for r in got)
+    assert set(sizes) <= set(range(16)) and max(sizes.values()) - min(sizes[s] for s in range(16)) <= 1
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))

@@ -127,3 +127,44 @@ def test_repeated_ids_are_decided_by_row(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, b), (5, a), (7, c), (7, c)]
+
+
+def test_buckets_stay_bounded():
+    """Fingerprints a bucket receives on average: each goes to all buckets of its ball."""
+    for n in (1, 10**4, 10**6, 10**8, 10**9, 10**11):
+        bits = simhash._bucket_bits(n, 2)
+        keys = len(np.unique(simhash._linear(simhash._masks(2), bits)))
+        assert keys <= 1 + bits + bits * (bits - 1) // 2
+        assert n * keys / 2**bits <= simhash.BUCKET
+        assert bits == 6 or n * keys / 2 ** (bits - 1) > simhash.BUCKET / 4
+    rng = np.random.default_rng(8)
+    fps = rng.integers(0, 2**63, 60_000, dtype=np.uint64)
+    load = np.bincount(simhash._linear(fps, 8), minlength=256)
+    assert load.max() < 1.4 * load.mean()
+
+
+def test_keep_one_row_leaves_one_of_each_group(spark):
+    a, b, c = "the same words over and over again", "quite another text of words here", "alone and without any copy at all"
+    rows = [(2, b), (5, b), (5, a), (9, a), (7, c), (7, c), (7, b), (8, c), (None, c), (None, None), (None, ""), (None, "only rows without an id say this here")]
+    docs = spark.createDataFrame([(i, t, "x", "y", 7) for i, t in rows], "doc_id bigint, text string, fp string, root string, component_id bigint")
+    kept = simhash.keep_one_row(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(got, key=str) in [sorted([(2, b), (5, a), (7, c), (None, x), (None, rows[-1][1])], key=str) for x in (None, "")]
+    assert simhash.keep_one_row(docs.limit(0)).count() == 0
+    plain = docs.where("doc_id in (2, 9, 8)")
+    assert sorted(r.doc_id for r in simhash.keep_one_row(plain).collect()) == [2, 8, 9]
+
+
+def test_keep_one_row_against_brute_force(spark, sf):
+    """Every row twice, and ids taken together in pairs: one row for each component of the texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id // 2, r.text) for r in docs.collect()] * 2
+    fps = {t: brute_fp(t) for _, t in rows}
+    comp = brute_components({i: f for i, f in enumerate(sorted(set(fps.values())))})
+    of = {f: comp[i] for i, f in enumerate(sorted(set(fps.values())))}
+    got = simhash.keep_one_row(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    low = {}
+    for i, t in rows:
+        low[of[fps[t]]] = min(i, low.get(of[fps[t]], i))
+    assert sorted((of[fps[r.text]], r.doc_id) for r in got) == sorted(low.items())

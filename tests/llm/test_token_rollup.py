@@ -64,3 +64,21 @@ def test_counts_and_query(spark, sf):
             a[0], a[1] = a[0] + 1, a[1] + n
     have = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in queries.op2_token_rollup(spark, sf).collect()}
     assert have == want
+
+
+def test_a_commit_counts_each_text_once_and_reads_its_buckets(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def counter(t):
+        with open(calls, "a") as f:
+            f.write("x")
+        return len(t)
+
+    docs = spark.createDataFrame([(i, "a" * i, "s", "en") for i in range(50)] + [(None, "long " * 20_000, "s", "en")], "doc_id bigint, text string, source string, lang string")
+    led = TokenLedger(spark, str(tmp_path / "l"))
+    led.commit("b1", count_tokens(docs, {"v": counter}))
+    assert calls.stat().st_size == 51 and totals(led) == [("s", "en", "v", 51, 100_000 + sum(range(50)))]
+    assert len(list((tmp_path / "l" / "entries" / "batch=b1").glob("bucket=*"))) > 20
+    led.commit("b2", spark.createDataFrame([(7, "s", "en", "v", 1)], UP))
+    assert len(list((tmp_path / "l" / "entries" / "batch=b2").glob("bucket=*"))) == 1
+    assert totals(led) == [("s", "en", "v", 51, 100_000 + sum(range(50)) - 6)]

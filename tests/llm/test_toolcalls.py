@@ -61,3 +61,53 @@ def test_native_plan(spark, sf):
 
     plan = queries.op5_tool_calls(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_levels(calls):
+    """Level of each call by its definition, walking all chains; None on or above a cycle."""
+    turn = {(c, k): t for c, t, k, *_, d in calls}
+    needs = {(c, k): {x for x in d or [] if x is not None and (c, x) in turn} for c, _, k, *_, d in calls}
+    out = {}
+
+    def level(c, k, path):
+        if k in path:
+            return None
+        if (c, k) not in out:
+            found = [(level(c, x, path | {k}), 0 if turn[c, x] < turn[c, k] else 1) for x in needs[c, k]]
+            if any(v is None for v, _ in found):
+                return None
+            out[c, k] = max((v + s for v, s in found), default=0)
+        return out[c, k]
+
+    return {(c, k): level(c, k, frozenset()) for c, k in turn}
+
+
+def test_levels_by_definition(spark):
+    import random
+
+    rnd, calls = random.Random(11), []
+    for c in range(25):
+        n = rnd.randrange(1, 14)
+        for t in range(n):
+            fan = rnd.choice([0, 1, 1, 1, 2, 3])
+            calls.append((c, t, f"k{t}", "add", "{}", [f"k{rnd.randrange(n) if rnd.random() < 0.3 else rnd.randrange(max(1, t))}" for _ in range(fan)]))
+    calls += [(100, i, f"k{i}", "add", "{}", [f"k{i + 1}"]) for i in range(300)]  # one long run against the turns
+    calls += [(101, i, f"k{i}", "add", "{}", [f"k{(i + 1) % 7}"]) for i in range(7)]  # a ring
+    want = plain_levels(calls)
+    got = {(r.conv_id, r.call_id): (r.level, r.cyclic) for r in toolcalls.levels(spark.createDataFrame(calls, CALL)).collect()}
+    assert got == {k: (v, v is None) for k, v in want.items()}
+    assert got[100, "k0"] == (299, False) and any(v is None for k, v in want.items() if k[0] < 100)
+
+
+def test_unrelated_calls_do_not_change_a_level(spark):
+    chain = [(1, 0, "a", "add", "{}", None), (1, 2, "b", "add", "{}", ["a"])]
+    odd = [(1, 4, "y", "add", "{}", ["z"]), (1, 6, "z", "add", "{}", None)]
+    got = [{r.call_id: r.level for r in toolcalls.levels(spark.createDataFrame(rows, CALL)).collect()} for rows in (chain, chain + odd)]
+    assert got[0] == {"a": 0, "b": 0} and got[1] == {"a": 0, "b": 0, "y": 1, "z": 0}
+
+
+def test_query_has_levels_and_cycles(spark, sf):
+    from strataweave.llm import queries
+
+    rows = queries.op5_tool_calls(spark, sf).where("kind = 'tool_call'").collect()
+    assert {r.level for r in rows} >= {0, 1, None} and all((r.level is None) == (r.status == "cycle") for r in rows)

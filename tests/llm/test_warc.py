@@ -71,3 +71,26 @@ def test_whole_table(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     warc.write_warc(pages, str(tmp_path / "w"), segment=2048)
     assert read(spark, str(tmp_path / "w")) == brute([(r.page_id, r.url, r.html) for r in pages.collect()])
+
+
+def test_pieces_give_the_records_of_the_whole():
+    rnd = random.Random(3)
+    whole = b"".join(r + b"\r\n\r\n" for i in range(20) for r in warc.records(i, "u", bytes(rnd.choices(b"ab\r\n", k=rnd.randrange(300))), "00" * 20, None, 64))
+    want = list(warc.parse(whole))
+    for size in (1, 3, 50, 1000):
+        assert list(warc.parse_pieces(whole[k : k + size] for k in range(0, len(whole), size))) == want
+    for cut in (1, 4, 30):
+        with pytest.raises(ValueError):
+            list(warc.parse_pieces([whole[:-cut]]))
+
+
+def test_archives_are_bounded_and_payloads_told_apart_by_sha256(spark, tmp_path):
+    rows = [(i, "u", f"{i % 7}" * 3000) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    keys = {r.id: r.key for r in warc.decide(pages, "page_id", "html").collect()}
+    assert keys == {i: hashlib.sha256(h.encode()).hexdigest() for i, _, h in rows}
+    warc.write_warc(pages.repartition(1), str(tmp_path / "w"), per_file=16)
+    files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*")]
+    assert len(files) >= 13 and all(len(list(warc.parse(f))) <= 16 for f in files)
+    assert read(spark, str(tmp_path / "w")) == brute(rows)
+    assert warc.FILE_BYTES // (warc.SEGMENT + 2048) * (warc.SEGMENT + 2048) <= warc.FILE_BYTES
