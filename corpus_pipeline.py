@@ -5,7 +5,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 What every stage does with odd rows: a null text counts as an empty one; an empty text has the model's score for no words, toxicity 0, fingerprint
 zero, no benchmark window and no tokens; long texts are taken whole. Repeated rows are scored alike, and one of them stays among near duplicates; a
 null id is kept and counts as any row. An empty table stays empty. Further columns pass through all stages but the last, whatever their
-names, but for the stage's own (_quality, _toxic, _fp, _text, _order, _hits).
+names, but for the stage's own (_quality, _toxic, _hits).
 """
 
 from __future__ import annotations
