@@ -86,6 +86,7 @@ def drawing_lifecycle(status: Column | str) -> Column:
     return F.when(state.isNotNull(), F.struct(state.alias("state"), conf.alias("confidence"), rank.alias("rank")))
 
 
+# Roads for walking.
 PEDESTRIAN = ["footway", "path", "pedestrian", "steps", "corridor", "cycleway", "bridleway"]
 
 
@@ -115,14 +116,6 @@ def feature_kind(tags: Column) -> Column:
     )
 
 
-def path_role(tags: Column, kind: Column) -> Column:
-    """queue before restricted or service before guest; roads without a word on it are service."""
-    t = lambda k: F.lower(F.coalesce(F.try_element_at(tags, F.lit(k)), F.lit("")))
-    queue = (t("queue") == "yes") | t("name").contains("queue") | (t("footway") == "queue")
-    closed = t("access").isin("private", "no", "permit", "staff") | (t("highway") == "service") | t("service").isin("driveway", "alley", "emergency_access")
-    return F.when(queue, "queue").when(closed, "service").when(kind == "road", "service").otherwise("guest")
-
-
 KIND_GROUPS = [("path", "road"), ("building", "structure"), ("ride_track", "rail")]
 
 
@@ -135,16 +128,3 @@ def kinds_compatible(a: Column, b: Column, groups=KIND_GROUPS) -> Column:
 
 def linear_category(kind: Column) -> Column:
     return F.when(kind.isin("path", "road"), "access").when(kind.isin("rail", "water"), kind)
-
-
-def aerial_class(r: Column, g: Column, b: Column) -> Column:
-    """Ground class of a patch by the medians of its bands, in order."""
-    lum = 0.2126 * r + 0.7152 * g + 0.0722 * b
-    top, low = F.greatest(r, g, b), F.least(r, g, b)
-    sat = F.when(top > 0, (top - low) / top).otherwise(0.0)
-    excess = 2 * g - r - b
-    return (
-        F.when(lum < 28, "shadow").when((b > g + 6) & (b > r + 10) & (lum < 120), "water-candidate").when((excess > 22) & (lum < 75), "canopy").when((excess > 22) & (lum < 150), "grass")
-        .when(excess > 12, "vegetation").when((r > g) & (g > b) & (sat > 0.3) & (lum < 110), "soil-mulch").when((r >= g) & (g > b) & (sat > 0.22) & (lum < 190), "dry-grass")
-        .when((sat < 0.12) & (lum < 95), "rock-gravel").when((r > g) & (g > b) & (lum >= 190), "sand").when(sat < 0.15, "hardscape").otherwise("unclassified")
-    )

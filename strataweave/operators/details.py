@@ -41,16 +41,23 @@ def material_role(material: Column, raw: Column, kind: Column) -> Column:
     return F.when(roofing & (kind == "building"), "roof").when(kind == "barrier", "barrier").when(kind.isin("building", "structure"), "wall").otherwise("surface")
 
 
-STRONG_CLASS = [(r"\b(roller coaster|coaster|ride) (track )?layout\b|\brunning rails?\b", "ride_layout", 0.99), (r"\b(longitudinal|track) sections?\b", "section", 0.96), (r"\b(north|south|east|west|front|rear|side) elevations?\b", "elevation", 0.95), (r"\bplanting plan\b|\b(hard|soft) landscape (plan|layout)\b", "landscape_plan", 0.94), (r"\bproposed site plan\b|\bgeneral arrangement\b|\bmaster ?plan\b", "site_plan", 0.93)]
+# Class, confidence, what a title says of it. In order.
+STRONG_CLASS = [
+    ("ride_layout", 0.99, r"\b(?:roller\s+coaster|coaster|ride)\s+(?:track\s+)?layout\b|\b(?:track|ride)\s+(?:centre|center)\s*line\b|\b(?:roller\s+coaster|coaster|ride)\s+track\s+plan\b|\btrack\s+layout\s+(?:plan|drawing)\b|\brunning\s+rail(?:s)?\b"),
+    ("section", 0.96, r"\b(?:roller\s+coaster|coaster|ride|track)\s+(?:longitudinal\s+|cross\s+)?section(?:s)?\b|\b(?:longitudinal|track)\s+section(?:s)?\b|\bsection\s+[a-z0-9]+[-–—][a-z0-9]+\b"),
+    ("elevation", 0.95, r"\b(?:roller\s+coaster|coaster|ride|track)\s+elevation(?:s)?\b|\b(?:north|south|east|west|front|rear|side)\s+elevation(?:s)?\b|\belevation\s+drawing(?:s)?\b"),
+    ("landscape_plan", 0.94, r"\b(?:hard|soft)\s+landscape\s+(?:plan|layout)\b|\blandscape\s+(?:site\s+)?plan\b|\bplanting\s+plan\b"),
+    ("site_plan", 0.93, r"\bproposed\s+site\s+plan\b|\bgeneral\s+arrangement\s+(?:plan|drawing)\b|\bmaster\s*plan\b"),
+]
 
 
 def reclassify(known: Column, title: Column, body: Column) -> Column:
     """struct(classification, confidence): a weak class gives way to what the title says; of the body only a ride layout counts, .05 lower."""
-    t, b = (F.lower(F.regexp_replace(c, r"\s+", " ")) for c in (title, body))
-    weak = known.isNull() | known.isin("unknown", "supporting", "other")
+    t, b = (F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")) for c in (title, body))
+    weak = known.isNull() | known.isin("unknown", "supporting")
     row = lambda c, p: F.struct(F.lit(c).alias("classification") if isinstance(c, str) else c.alias("classification"), F.lit(p).alias("confidence"))
-    out = F.when(b.rlike(STRONG_CLASS[0][0]), row("ride_layout", 0.94)).otherwise(row(known, 0.0))
-    for pattern, name, conf in reversed(STRONG_CLASS):
+    out = F.when(b.rlike(STRONG_CLASS[0][2]), row("ride_layout", 0.94)).otherwise(row(known, 0.0))
+    for name, conf, pattern in reversed(STRONG_CLASS):
         out = F.when(t.rlike(pattern), row(name, conf)).otherwise(out)
     return F.when(weak, out).otherwise(row(known, 1.0))
 
@@ -66,21 +73,6 @@ def surface_style(planning: Column, tag: Column, image: Column, image_ok: Column
     return F.when(planning.isNotNull(), row(planning, "planning")).when(tag.isNotNull(), row(tag, "tag")).when(image.isNotNull() & F.coalesce(image_ok, F.lit(False)), row(image, "imagery")).otherwise(row(F.lit("unknown"), "fallback"))
 
 
-def pattern_slot(pattern: Column, x: Column, z: Column) -> Column:
-    """Which of two blocks a laid pattern puts on a cell."""
-    two = lambda c: F.pmod(c, F.lit(2))
-    bond = two(F.floor((x + F.when(two(F.floor(z / 2.0)) == 1, 2).otherwise(0)) / 4.0))
-    return (
-        F.when(pattern == "checker", two(x + z)).when(pattern == "stripes", two(x)).when(pattern == "grid", F.when((F.pmod(x, F.lit(4)) == 0) | (F.pmod(z, F.lit(4)) == 0), 1).otherwise(0))
-        .when(pattern == "slabs", two(F.floor(x / 2.0) + F.floor(z / 2.0))).when(pattern == "running-bond", bond).when(pattern == "herringbone", two(F.floor((x + z) / 2.0) + F.floor((x - z) / 2.0))).otherwise(F.lit(0))
-    ).cast("int")
-
-
-def leaf_palette(r: Column, g: Column, b: Column, leaf: Column) -> Column:
-    lum = 0.2126 * r + 0.7152 * g + 0.0722 * b
-    return F.when(leaf == "needleleaved", F.when(lum < 70, "dark-needle").otherwise("needle")).when((r > g) & (r > b), "autumn").when(lum < 70, "dark-broad").when(lum > 140, "light-broad").otherwise("broad")
-
-
 def wrap_sign(text: Column, width: int = 20, rows: int = 4) -> Column:
     """Lines of at most ``width`` characters, words whole where they fit; what is left over ends in an ellipsis."""
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
@@ -151,18 +143,25 @@ def unique_template(things: DataFrame, templates: DataFrame, code: str) -> DataF
     return j.withColumn("template_id", F.when(F.col("n") == 1, F.col("t"))).withColumn("status", F.when(F.col("n").isNull(), "no-template").when(F.col("n") == 1, "matched").otherwise("ambiguous")).drop("n", "t")
 
 
-def relevant_applications(anchors: DataFrame, applications: DataFrame, least: float = 0.5) -> DataFrame:
-    """(anchor, application, score): names found in application texts.
+def relevant_applications(anchors: DataFrame, applications: DataFrame, least: float = 0.48, most: int = 20_000) -> DataFrame:
+    """(anchor_id, application_id, score) of anchors (anchor_id, name) in application texts: the whole name, also inside longer words, or enough of its words.
 
-    Two thirds of a name's words must be there, so of any third of them and one more at least one is: only the longest of them lead to the
-    texts that have them, and common short words bring nothing together. A name inside a longer word is not found.
+    A name inside a longer word shares no word with the text, so no equi-join meets all pairs. Anchors are the named things of one map: up to ``most`` of
+    them (checked) travel to all texts, and an expression finds what each text names.
     """
-    words = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: F.length(w) > 2)
-    lead = F.array_sort(F.transform(F.array_distinct(words(F.col("name"))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    a = anchors.withColumn("_l", lead).withColumn("_w", F.explode(F.transform(F.slice("_l", 1, F.floor(F.size("_l") * 0.33).cast("int") + 1), lambda x: x["w"])))
-    t = applications.withColumn("_w", F.explode(F.array_distinct(words(F.col("text")))))
-    pairs = a.select("anchor_id", "name", "_w").join(t.select("application_id", "text", "_w"), "_w").drop("_w").dropDuplicates(["anchor_id", "application_id"])
-    return pairs.withColumn("score", text_relevance(F.col("name"), F.col("text"))).where(F.col("score") >= least).select("anchor_id", "application_id", "score")
+    names = anchors.where(F.col("name").isNotNull()).select("anchor_id", "name")
+    if names.limit(most + 1).count() > most:
+        raise ValueError("the anchors of one map are a bounded list")
+    pairs = applications.select("application_id", "text").join(F.broadcast(names), text_relevance(F.col("name"), F.col("text")) >= least)
+    return pairs.select("anchor_id", "application_id", text_relevance(F.col("name"), F.col("text")).alias("score"))
+
+
+def application_ranking(matches: DataFrame, applications: DataFrame, order: str) -> DataFrame:
+    """(application_id, score, anchors, place): the best weighted match (application_id, score, weight) and .02 for each further one, .12 at most; ranked by score, then ``order``."""
+    g = matches.groupBy("application_id").agg(F.max(half_up(F.col("score") * F.col("weight"), 3)).alias("best"), F.count("*").alias("anchors"))
+    j = applications.join(g, "application_id", "left").withColumns({"anchors": F.coalesce("anchors", F.lit(0).cast("bigint")), "best": F.coalesce("best", F.lit(0.0))})
+    score = half_up(F.least(F.lit(1.0), F.col("best") + F.least(F.lit(0.12), F.greatest(F.lit(0), F.col("anchors") - 1) * 0.02)), 3)
+    return j.withColumn("score", score).select("application_id", "score", "anchors", F.col(order))
 
 
 def mosaic(layers: DataFrame, key: list[str]) -> DataFrame:
@@ -207,6 +206,25 @@ def agreeing_latest(rows: DataFrame, key: str, rev: str, value: str) -> DataFram
     return g.select(key, F.when(F.col("n") == 1, F.col("v")).alias("value"), F.when(F.col("n") == 1, "latest").otherwise("conflict").alias("status"))
 
 
+def schedule_values(records: DataFrame, key: str, value: str, shown: str) -> DataFrame:
+    """(key, n, agreed, conflict) of schedule records: peers of one code must agree on ``value``, else nothing is taken; ``shown`` is what is taken."""
+    g = records.groupBy(key).agg(F.count_distinct(value).alias("d"), F.count("*").alias("n"), F.max(shown).alias("top"))
+    return g.select(key, "n", F.when(F.col("d") <= 1, F.col("top")).alias("agreed"), (F.col("d") > 1).alias("conflict"))
+
+
+def schedule_join(objects: DataFrame, schedule: DataFrame, key: str, family: str | None = None) -> DataFrame:
+    """``objects`` with what the schedule says of their code: by the exact code, and the object's ``family`` where both sides have one.
+
+    A code that the schedule has not, or has for another family only, leaves n 0 and nothing agreed.
+    """
+    s = schedule.withColumnRenamed(family, "_family") if family else schedule
+    j = objects.join(s, key, "left")
+    if family:
+        fits = F.col("_family").isNull() | F.col(family).isNull() | (F.col("_family") == F.col(family))
+        j = j.withColumns({c: F.when(fits, F.col(c)) for c in schedule.columns if c not in (key, family)}).drop("_family")
+    return j.withColumns({"n": F.coalesce("n", F.lit(0).cast("bigint")), "conflict": F.coalesce("conflict", F.lit(False))})
+
+
 def shadowed(spans: DataFrame, key: str) -> DataFrame:
     """Spans (key, a, b, confidence, name) that stay when, by confidence, each takes its place and overlaps nothing taken. A page is one group."""
 
@@ -233,17 +251,19 @@ def tombstones(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return b.join(a, key, "full").where("a is null or b is null").select(key, F.when(F.col("a").isNull(), "removed").otherwise("added").alias("change"))
 
 
-def sign_cells(candidates: DataFrame, owner: str, rounds: int = 20) -> DataFrame:
-    """A cell for each sign (owner, x, z, score; low is good), no cell twice: each round every sign asks for its best free cell, and the best asker gets it."""
-    left, done = cut_lineage(candidates.select(owner, "x", "z", "score")), None
-    for _ in range(rounds):
+def sign_cells(candidates: DataFrame, owner: str) -> DataFrame:
+    """A cell for each sign (owner, x, z, score; low is good) that has a free one, no cell twice: each round every sign asks for its best free cell, and the best asker gets it.
+
+    Every round places a sign at least, so the rounds end by themselves; signs that are left have no cell that another didn't take.
+    """
+    left, done = cut_lineage(candidates.select(owner, "x", "z", "score").dropna()), None
+    while True:
         want = left.groupBy(owner).agg(F.min(F.struct("score", "x", "z")).alias("m")).select(owner, "m.*")
         won = cut_lineage(want.groupBy("x", "z").agg(F.min(F.struct("score", owner)).alias("m")).select(f"m.{owner}", "x", "z", "m.score"))
         if won.isEmpty():
-            break
-        done = won if done is None else done.unionByName(won)
+            return done if done is not None else left
+        done = won if done is None else cut_lineage(done.unionByName(won))
         left = cut_lineage(left.join(won.select(owner), owner, "left_anti").join(won.select("x", "z"), ["x", "z"], "left_anti"))
-    return done if done is not None else left
 
 
 def cell_overlap(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:

@@ -53,14 +53,6 @@ def inherit_tags(replaced: DataFrame, group: str, tags: str = "tags") -> DataFra
     return kv.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("tags"), F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("k")))).alias("conflicts"))
 
 
-def change_action(candidate_ok: Column, operation: Column, matched: Column, ambiguous: Column, same_geometry: Column, paint_only: Column) -> Column:
-    """What a change does, the first that holds: review, ignored, delete, paint, retain, replace, add."""
-    return (
-        F.when(~candidate_ok, "ignored").when(ambiguous, "review").when((operation == "delete") & matched, "delete").when(operation == "delete", "review")
-        .when(paint_only, "paint").when(matched & same_geometry, "retain").when(matched, "replace").otherwise("add")
-    )
-
-
 def resolve_collisions(changes: DataFrame, target: str, signature: str, score: str, tie: str) -> DataFrame:
     """Changes of one target: alike, the best stays and the others are ignored; different, all go to review."""
     n = changes.groupBy(target).agg(F.count_distinct(signature).alias("_sigs"), F.count("*").alias("_n"), F.min(F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t"))).alias("_best"))
@@ -78,6 +70,31 @@ def collapse_aliases(rows: DataFrame, id_col: str, text_col: str, strength: str,
     return j.select(F.col("id").alias(id_col), F.when(F.col("s") < -F.col("b.neg"), F.col("b.id")).alias("alias_of"))
 
 
+def reference_aliases(rows: DataFrame, id_col: str, reference: str, text: str, strength: str) -> DataFrame:
+    """(id, alias_of, reason): a record that is another one under a suffix of its reference, or that names the other's reference in its text.
+
+    The target must have a strictly greater strength, else the record stays its own. References of fewer than six characters are no evidence; a
+    reference in a text is met word by word, so a text leads only to references whose words it has. The suffix comes first; then the strongest, then the smaller id.
+    """
+    key = F.upper(F.trim(F.regexp_replace(F.col(reference), r"\s+", " ")))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    r = rows.select(F.col(id_col).alias("id"), key.alias("ref"), plain(F.col(text)).alias("t"), plain(key).alias("words"), F.col(strength).alias("s"))
+    first = r.where("ref is not null and ref != ''").groupBy("ref").agg(F.min(F.struct("id", "s")).alias("m")).select("ref", F.col("m.id").alias("to"), F.col("m.s").alias("to_s"))
+    # Suffixes of a reference that mean a consultation on the same application.
+    base = F.regexp_replace("ref", r"\s+(?:MSA|CONSULTATION|CONSULT|CON)$", "")
+    suffix = r.withColumn("base", F.trim(base)).where("base != ref and base != ''").join(first.withColumnRenamed("ref", "base"), "base").select("id", "s", "to", "to_s", F.lit(0).alias("rank"))
+    n = F.size(F.split("words", " "))
+    named = r.where("length(words) >= 6").select("words", F.col("id").alias("to"), F.col("s").alias("to_s"), n.alias("n"))
+    lengths = sorted(x[0] for x in named.select("n").distinct().collect())  # references have a handful of words
+    tokens = F.split("t", " ")
+    spans = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - k + 1, F.lit(0)), F.lit(1)) if k == 1 else F.when(F.size(tokens) >= k, F.sequence(F.lit(1), F.size(tokens) - k + 1)).otherwise(F.array().cast("array<int>")), lambda i, k=k: F.array_join(F.slice(tokens, i, k), " ")) for k in lengths])) if lengths else F.array().cast("array<string>")
+    said = r.select("id", "s", F.explode(F.array_distinct(spans)).alias("words")).join(named, "words").where("id != to").select("id", "s", "to", "to_s", F.lit(1).alias("rank"))
+    best = suffix.union(said).where("id != to").groupBy("id").agg(F.min(F.struct("rank", (-F.col("to_s")).alias("o"), "to", "to_s", "s")).alias("b"))
+    good = F.col("b.to_s") > F.col("b.s")
+    out = r.select("id").join(best, "id", "left")
+    return out.select(F.col("id").alias(id_col), F.when(good, F.col("b.to")).alias("alias_of"), F.when(good & (F.col("b.rank") == 0), "reference-suffix-alias").when(good, "explicit-related-application-reference").alias("reason"))
+
+
 def catalogue(docs: DataFrame, content: str, source: str, id_col: str) -> DataFrame:
     """One row per content hash: first id, distinct sources, how many copies it stands for."""
     h = F.sha2(F.col(content).cast("binary"), 256)

@@ -151,3 +151,14 @@ def blue_noise(df: DataFrame, key: str, x: str, z: str, spacing: float, seed: in
     kind = df.schema[key].dataType.simpleString()
     d = df.select(key, F.col(x).cast("double").alias(x), F.col(z).cast("double").alias(z)).withColumn("_h", hash_2d(F.floor(F.col(x) + 0.5), F.floor(F.col(z) + 0.5), seed))
     return d.groupBy(key).applyInArrow(run, f"{key} {kind}, {x} double, {z} double")
+
+
+def spread_of(rows: DataFrame, key: list[str], value: str, least: int = 1) -> DataFrame:
+    """(key, p65, spread, med, n) of groups of ``least`` values or more: upper middle, width of the middle 80 %, median."""
+    g = rows.groupBy(*key).agg(F.percentile(value, 0.65).alias("p65"), (F.percentile(value, 0.9) - F.percentile(value, 0.1)).alias("spread"), F.median(value).alias("med"), F.count("*").alias("n"))
+    return g.where(F.col("n") >= least)
+
+
+def weighted_share(rows: DataFrame, key: list[str], covered: Column, weight: Column) -> DataFrame:
+    """(key, coverage): the weight of what is covered over all weight; null where nothing weighs."""
+    return rows.groupBy(*key).agg((F.sum(F.when(covered, weight).otherwise(0)) / F.nullif(F.sum(weight), F.lit(0.0))).alias("coverage"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.functions.scalars import floor_div
+from strataweave.functions.scalars import floor_div, hash_shard
 
 
 def lpt_bins(weights: list[tuple[str, float]], n: int) -> dict[str, int]:
@@ -36,6 +36,20 @@ def page_weight(geometry, vertical, material, text):
     return 1 + 8 * geometry + 2 * vertical + 2 * material + 0.02 * text
 
 
+def template_weight(text: Column) -> Column:
+    """Of a page that has templates only: .25, and .02 a text, 2 at most."""
+    return 0.25 + F.least(F.lit(2.0), 0.02 * text)
+
+
+MOST_RUNNERS = 20
+
+
+def affine_shard(affinity: Column, content_hash: Column, shards: int) -> Column:
+    """The shard that fetched a document, else one by its content hash; at most ``MOST_RUNNERS`` shards."""
+    n = max(1, min(MOST_RUNNERS, int(shards)))
+    return F.coalesce(F.when(F.size(affinity) > 0, F.pmod(F.array_min(affinity), F.lit(n))), hash_shard(content_hash, n)).cast("int")
+
+
 def bands(min_c: int, max_c: int, n: int) -> list[tuple[int, int]]:
     """Consecutive bands of the axis, sizes at most one apart."""
     size = max_c - min_c + 1

@@ -91,7 +91,7 @@ def bilinear(points: DataFrame, grid: DataFrame, size: float = 1.0) -> DataFrame
     wz = F.when(F.col("_c.j") == 1, fz - F.floor(fz)).otherwise(1 - (fz - F.floor(fz)))
     j = p.withColumn("_w", wx * wz).join(grid.where("value is not null"), ["gx", "gz"], "left")
     w = F.sum(F.when(F.col("value").isNotNull(), F.col("_w")))
-    return j.groupBy(*points.columns).agg((F.sum(F.col("_w") * F.col("value")) / F.nullif(w, F.lit(0.0))).alias("value"))
+    return j.groupBy(*points.columns, "_p").agg((F.sum(F.col("_w") * F.col("value")) / F.nullif(w, F.lit(0.0))).alias("value")).drop("_p")
 
 
 def chamfer(mask: np.ndarray) -> np.ndarray:

@@ -204,6 +204,19 @@ def acceptance(summary: DataFrame) -> DataFrame:
     return summary.select(F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), F.coalesce(F.expr(e), F.lit(False)).alias("pass")) for n, e in GATES])).alias("g")).select("g.*")
 
 
+def ride_gate(rides: DataFrame, least: float = 0.9) -> DataFrame:
+    """(gate, pass, n): whether named rides (name, status, vertical_coverage, length) are modelled in height.
+
+    No named ride may be flat, each must have ``least`` of its height, and all together too, by length. Without named rides every gate holds.
+    """
+    named = rides.where("name is not null and trim(name) != ''")
+    cover = F.coalesce(F.col("vertical_coverage"), F.lit(0.0))
+    g = named.agg(F.count("*").alias("n"), F.count_if((F.col("status") == "2d-only") | (cover <= 0)).alias("flat"), F.count_if(cover < least).alias("low"), F.count_if(cover > 0).alias("some"), (F.sum(cover * F.col("length")) / F.nullif(F.sum("length"), F.lit(0.0))).alias("all"))
+    none = F.col("n") == 0
+    gates = [("some-ride-has-height", none | (F.col("some") > 0), "some"), ("no-ride-is-flat", F.col("flat") == 0, "flat"), ("each-ride-is-covered", F.col("low") == 0, "low"), ("rides-are-covered", none | F.coalesce(F.col("all") >= least, F.lit(False)), "n")]
+    return g.select(F.explode(F.array(*[F.struct(F.lit(name).alias("gate"), ok.alias("pass"), F.col(c).cast("bigint").alias("n")) for name, ok, c in gates])).alias("g")).select("g.*")
+
+
 def exact_3d() -> Column:
     """An aggregate over ``code``: none of those that rule an exact model out."""
     codes = ["BOUNDARY_UNVERIFIED", "RIDE_VERTICAL_GEOMETRY_ABSENT", "RIDE_VERTICAL_GEOMETRY_PARTIAL", "RIDE_BANKING_GEOMETRY_PARTIAL", "RIDE_PLAN_PROFILE_MISALIGNED", "BRIDGE_VERTICAL_GEOMETRY_PARTIAL", "TERRAIN_NOT_SURVEY_GRADE", "TERRAIN_FLAT_DATUM"]

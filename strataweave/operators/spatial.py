@@ -79,14 +79,46 @@ def best_of(scored: DataFrame, key: list[str], target: str, score: str, minimum:
     return best.select(*key, F.col("b.t").alias(target), s.alias(score), c.alias(f"second_{score}"), status.alias("status"))
 
 
+def near_boxes(left: DataFrame, right: DataFrame, size: float, least: float = 8.0) -> DataFrame:
+    """Pairs of rows (structs l and r) whose boxes overlap or whose centres are nearer than the longer of ``least`` and both diagonals.
+
+    Boxes have classes by their diagonal, each with a grid twice as coarse as the one before. Two boxes meet in the grid of the larger one's
+    class, where their centres lie in the same or neighbouring cells. So a box takes nine cells of its own class and one for each coarser
+    class that there is, however large other boxes are.
+    """
+    diag = F.hypot(F.col("max_x") - F.col("min_x"), F.col("max_z") - F.col("min_z"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(float(least)), diag) / size))).cast("int")
+    ok = " and ".join(f"{c} is not null" for c in BOX)
+    a, b = (df.where(ok).select(F.struct(*df.columns).alias(name), level.alias("_lv"), ((F.col("min_x") + F.col("max_x")) / 2).alias("_x"), ((F.col("min_z") + F.col("max_z")) / 2).alias("_z")) for df, name in ((left, "l"), (right, "r")))
+    known = sorted(r[0] for r in a.select("_lv").union(b.select("_lv")).distinct().collect())  # a few dozen at most: sizes double
+
+    def cells(df, around, floor):
+        """Cells of each box: with neighbours in its own class, or alone in all classes from ``floor`` above its own on."""
+        if around:
+            step = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+            d = df.withColumn("_m", F.col("_lv")).withColumn("_s", F.explode(step))
+        else:
+            d = df.withColumn("_m", F.explode(F.filter(F.array(*map(F.lit, known)), lambda k: k >= F.col("_lv") + floor))).withColumn("_s", F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+        cell = lambda c, k: (F.floor(F.col(c) / (size * F.pow(F.lit(2.0), F.col("_m")))) + F.col(f"_s.{k}")).cast("bigint")
+        return d.select("_m", cell("_x", "i").alias("_cx"), cell("_z", "j").alias("_cz"), *[c for c in ("l", "r") if c in df.columns])
+
+    if not known:
+        return a.select("l").join(b.select("r"), F.lit(False))
+    met = cells(a, True, 0).join(cells(b, False, 0), ["_m", "_cx", "_cz"]).unionByName(cells(a, False, 1).join(cells(b, True, 0), ["_m", "_cx", "_cz"]))
+    p, q = F.col("l"), F.col("r")
+    touch = (p["min_x"] <= q["max_x"]) & (p["max_x"] >= q["min_x"]) & (p["min_z"] <= q["max_z"]) & (p["max_z"] >= q["min_z"])
+    centre = F.hypot((p["min_x"] + p["max_x"] - q["min_x"] - q["max_x"]) / 2, (p["min_z"] + p["max_z"] - q["min_z"] - q["max_z"]) / 2)
+    long = lambda c: F.hypot(c["max_x"] - c["min_x"], c["max_z"] - c["min_z"])
+    return met.where(touch | (centre < F.greatest(F.lit(float(least)), long(p), long(q)))).select("l", "r")
+
+
 def match_boxes(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float, minimum: float = 0.66, gap: float = 0.08, compatible: Column | None = None, **score) -> DataFrame:
     """Best right box for each left box. ``compatible`` is over structs l and r; family columns of either side are called ``family``.
 
-    Only boxes that could still reach the minimum can matter: with neither overlap nor closeness a score stays below .28, so pairs
-    beyond the longer of 8 m and both diagonals are never formed.
+    Only boxes that could still reach the minimum can matter: with neither overlap nor closeness a score stays below .28, so only the
+    pairs of ``near_boxes`` are formed.
     """
-    reach = left.agg(F.max(F.hypot(F.col("max_x") - F.col("min_x"), F.col("max_z") - F.col("min_z")))).first()[0] or 0.0
-    pairs = box_join(left, right, size, tolerance=max(8.0, reach))
+    pairs = near_boxes(left, right, size)
     if compatible is not None:
         pairs = pairs.where(compatible)
     scored = pairs.select(F.col(f"l.{left_id}").alias(left_id), F.col(f"r.{right_id}").alias(right_id), box_match_score(_box(F.col("l")), _box(F.col("r")), F.col("l.family") == F.col("r.family"), **score).alias("score"))

@@ -36,6 +36,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
+def node_degrees(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, degree) of the ends of distinct edges: both ends of an edge are sent once, counted before the shuffle."""
+    ends = edges.select(src, dst).distinct().select(F.explode(F.array(src, dst)).alias("node"))
+    return ends.groupBy("node").agg(F.count("*").alias("degree"))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): each node of an edge with the smallest node of its component.
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataweave.core.session import table
+from strataweave.functions import appearance as A
 from strataweave.functions import geometry as G
 from strataweave.functions import ladders as L
 from strataweave.functions import scalars as S
@@ -25,7 +26,7 @@ from strataweave.operators import raster as R
 from strataweave.operators import reconcile as C
 from strataweave.operators import registration as T
 from strataweave.operators import spatial as J
-from strataweave.plans.graph import connected_components
+from strataweave.plans.graph import connected_components, node_degrees
 from strataweave.sources import web as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,10 +206,9 @@ def object_codes(spark, sf):
 g AS (SELECT brand, kind, count(DISTINCT p_size % 3) AS d, count(*) AS n, max(p_size) AS top FROM s GROUP BY ALL)
 SELECT brand, kind, n, CASE WHEN d > 1 THEN NULL ELSE top END AS agreed, d > 1 AS conflict FROM g""")
 def schedule_code_join(spark, sf):
-    p = table(spark, sf, "part").withColumn("code", F.concat_ws("|", "p_brand", "p_type"))
-    g = p.groupBy("p_brand", "p_type", "code").agg(F.count_distinct(F.col("p_size") % 3).alias("d"), F.count("*").alias("n"), F.max("p_size").alias("top"))
-    j = p.select("code").distinct().join(g, "code")
-    return j.select(F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), "n", F.when(F.col("d") <= 1, F.col("top")).alias("agreed"), (F.col("d") > 1).alias("conflict"))
+    p = table(spark, sf, "part").select(F.concat_ws("|", "p_brand", "p_type").alias("code"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"), "p_size")
+    s = D.schedule_values(p.select("code", (F.col("p_size") % 3).alias("value"), F.col("p_size").alias("shown")), "code", "value", "shown")
+    return D.schedule_join(p.select("code", "brand", "kind").distinct(), s, "code").select("brand", "kind", "n", "agreed", "conflict")
 
 
 # ---------------------------------------------------------------- spatial joins on synthesised boxes
@@ -262,7 +262,7 @@ def point_asof_space(spark, sf):
     return m.select("id", "sid", F.round("distance", 9).alias("distance"), "status")
 
 
-@query("""WITH s AS (SELECT p_partkey AS id, p_partkey % 20 AS line, (p_partkey * 7 % 200)::DOUBLE AS x, (p_partkey * 3 % 40)::DOUBLE AS z FROM part), g AS (SELECT (s_suppkey * 11 % 200)::DOUBLE AS ax, (s_suppkey % 40)::DOUBLE AS az, (s_suppkey * 11 % 200)::DOUBLE + 9 AS bx, (s_suppkey % 40)::DOUBLE + s_suppkey % 3 AS bz FROM supplier WHERE s_suppkey <= 60),
+@query("""WITH s AS (SELECT p_partkey AS id, p_partkey % 20 AS line, (p_partkey * 7 % 200)::DOUBLE AS x, (p_partkey * 3 % 40)::DOUBLE AS z FROM part), g AS (SELECT (s_suppkey * 11 % 200)::DOUBLE AS ax, (s_suppkey % 40)::DOUBLE AS az, (s_suppkey * 11 % 200)::DOUBLE + 9 AS bx, (s_suppkey % 40)::DOUBLE + s_suppkey % 3 AS bz FROM supplier),
 d AS (SELECT s.line, s.x, s.z, count(*) AS m, max(CASE WHEN sqrt(pow(x - (ax + t * (bx - ax)), 2) + pow(z - (az + t * (bz - az)), 2)) <= 2 THEN 1 ELSE 0 END) AS hit FROM (SELECT s.*, g.*, greatest(0, least(1, ((x - ax) * (bx - ax) + (z - az) * (bz - az)) / (pow(bx - ax, 2) + pow(bz - az, 2)))) AS t FROM s, g) s GROUP BY ALL),
 f AS (SELECT s.line, avg(hit)::DOUBLE AS fraction FROM s JOIN d USING (line, x, z) GROUP BY 1)
 SELECT line, round(fraction, 9) AS fraction, CASE WHEN fraction >= 0.8 THEN 'duplicate' WHEN fraction >= 0.2 THEN 'partial-overlap' ELSE 'accept' END AS decision FROM f""")
@@ -270,7 +270,7 @@ def line_overlap_dedupe(spark, sf):
     k, n = F.col("p_partkey"), F.col("s_suppkey")
     s = table(spark, sf, "part").select((k % 20).alias("line"), (k * 7 % 200).cast("double").alias("x"), (k * 3 % 40).cast("double").alias("z"))
     ax, az = (n * 11 % 200).cast("double"), (n % 40).cast("double")
-    g = table(spark, sf, "supplier").where("s_suppkey <= 60").select(ax.alias("ax"), az.alias("az"), (ax + 9).alias("bx"), (az + n % 3).alias("bz"))
+    g = table(spark, sf, "supplier").select(ax.alias("ax"), az.alias("az"), (ax + 9).alias("bx"), (az + n % 3).alias("bz"))
     f = J.overlap_fraction(s, g, "line", 2.0)
     return f.select("line", F.round("fraction", 9).alias("fraction"), J.overlap_decision(F.col("fraction")).alias("decision"))
 
@@ -318,11 +318,11 @@ def retag_merge(spark, sf):
     return r.select("id", F.try_element_at("tags", F.lit("status")).alias("status"), F.try_element_at("tags", F.lit("priority")).alias("priority"), "action")
 
 
-@query("""WITH t AS (SELECT l_partkey AS target, l_orderkey * 10 + l_linenumber AS id, floor(l_quantity / 26)::BIGINT AS sig, l_extendedprice AS score FROM lineitem WHERE l_linenumber = 1),
+@query("""WITH t AS (SELECT l_partkey * 10 + l_linenumber AS target, l_orderkey * 10 + l_linenumber AS id, floor(l_quantity / 26)::BIGINT AS sig, l_extendedprice AS score FROM lineitem),
 g AS (SELECT target, count(DISTINCT sig) AS d, count(*) AS n FROM t GROUP BY 1), k AS (SELECT t.*, d, n, row_number() OVER (PARTITION BY target ORDER BY score DESC, id) AS rn FROM t JOIN g USING (target))
 SELECT action, count(*) AS n, sum(id)::BIGINT AS ids FROM (SELECT id, CASE WHEN n = 1 THEN 'keep' WHEN d > 1 THEN 'review' WHEN rn = 1 THEN 'keep' ELSE 'ignored' END AS action FROM k) GROUP BY 1""")
 def target_collision(spark, sf):
-    t = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("target"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.floor(F.col("l_quantity") / 26).alias("sig"), F.col("l_extendedprice").alias("score"))
+    t = table(spark, sf, "lineitem").select((F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("target"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.floor(F.col("l_quantity") / 26).alias("sig"), F.col("l_extendedprice").alias("score"))
     return U.resolve_collisions(t, "target", "sig", "score", "id").groupBy("action").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
 
@@ -369,8 +369,7 @@ def source_gaps(spark, sf):
 
 @query("""SELECT l_partkey, quantile_cont(l_quantity, 0.65) AS p65, quantile_cont(l_quantity, 0.9) - quantile_cont(l_quantity, 0.1) AS spread, median(l_quantity) AS med, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 4""")
 def height_percentiles(spark, sf):
-    g = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.percentile("l_quantity", 0.65).alias("p65"), (F.percentile("l_quantity", 0.9) - F.percentile("l_quantity", 0.1)).alias("spread"), F.median("l_quantity").alias("med"), F.count("*").alias("n"))
-    return g.where("n >= 4")
+    return O.spread_of(table(spark, sf, "lineitem"), ["l_partkey"], "l_quantity", least=4)
 
 
 @query("""WITH b AS (SELECT l_suppkey AS k, floor(l_quantity / 2 / 0.5 + 0.5)::BIGINT AS bin, median(l_quantity / 2) AS elevation, count(*) AS n, avg(CASE WHEN l_linenumber IN (0, 1) THEN 1.0 ELSE 0.0 END)::DOUBLE AS u FROM lineitem GROUP BY ALL),
@@ -383,7 +382,7 @@ def height_bins_topk(spark, sf):
 
 @query("""SELECT o_orderpriority, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) / sum(o_totalprice) AS coverage FROM orders GROUP BY 1""")
 def weighted_coverage(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg((F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(0)) / F.sum("o_totalprice")).alias("coverage"))
+    return O.weighted_share(table(spark, sf, "orders"), ["o_orderpriority"], F.col("o_orderstatus") == "F", F.col("o_totalprice"))
 
 
 @query("""WITH d AS (SELECT DISTINCT l_suppkey AS k, l_partkey % 300 AS x FROM lineitem), i AS (SELECT *, x - row_number() OVER (PARTITION BY k ORDER BY x) AS g FROM d) SELECT k, min(x) AS x0, max(x) AS x1, count(*) AS n FROM i GROUP BY k, g""")
@@ -447,7 +446,7 @@ def terrain_grade(spark, sf):
     return g.select("user_id", F.round("p90", 9).alias("p90"), F.round("max_grade", 9).alias("max_grade"), "terrain")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || (s_suppkey % 40) AS a, 'c' || (s_suppkey * 7 % 60) AS b FROM supplier WHERE s_suppkey <= 90), n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x AS node, x AS lab FROM n UNION SELECT n.y, r.lab FROM r JOIN n ON n.x = r.node)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || (s_suppkey % 40) AS a, 'c' || (s_suppkey * 7 % 60) AS b FROM supplier), n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x AS node, x AS lab FROM n UNION SELECT n.y, r.lab FROM r JOIN n ON n.x = r.node)
 SELECT node, min(lab) AS component FROM r GROUP BY 1""")
 def components(spark, sf):
     k = F.col("s_suppkey")
@@ -455,10 +454,10 @@ def components(spark, sf):
     return connected_components(e)
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_partkey % 40 = 0), d AS (SELECT 's' || s AS node, count(*) AS degree FROM e GROUP BY 1 UNION ALL SELECT 'p' || p, count(*) FROM e GROUP BY 1) SELECT degree, count(*) AS nodes, count(*) FILTER (degree = 1) AS dangling FROM d GROUP BY 1""")
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), d AS (SELECT 's' || s AS node, count(*) AS degree FROM e GROUP BY 1 UNION ALL SELECT 'p' || p, count(*) FROM e GROUP BY 1) SELECT degree, count(*) AS nodes, count(*) FILTER (degree = 1) AS dangling FROM d GROUP BY 1""")
 def degrees(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_partkey % 40 = 0").select("l_suppkey", "l_partkey").distinct()
-    d = e.groupBy(F.concat(F.lit("s"), "l_suppkey").alias("node")).agg(F.count("*").alias("degree")).union(e.groupBy(F.concat(F.lit("p"), "l_partkey").alias("node")).agg(F.count("*").alias("degree")))
+    e = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    d = node_degrees(e.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")))
     return d.groupBy("degree").agg(F.count("*").alias("nodes"), F.count_if(F.col("degree") == 1).alias("dangling"))
 
 
@@ -482,9 +481,8 @@ d AS (SELECT p.id, q.block, sqrt(pow(p.l - q.l, 2) + pow(p.a - q.a, 2) + pow(p.b
 SELECT id, rn, block, round(de, 4) AS de FROM k WHERE rn <= 3""")
 def nearest_palette(spark, sf):
     k = F.col("p_partkey")
-    lab = S.srgb_to_lab(*[(k * m % 256).cast("double") for m in (7, 13, 29)])
-    near = F.array(*[F.struct(S.delta_e76(F.col("lab"), S.srgb_to_lab(*[F.lit(float(c)) for c in rgb])).alias("de"), F.lit(name).alias("block")) for name, rgb in _PALETTE.items()])
-    p = table(spark, sf, "part").select(k.alias("id"), lab.alias("lab")).select("id", F.posexplode(F.slice(F.array_sort(near), 1, 3)).alias("at", "n"))
+    near = A.nearest_blocks(*[(k * m % 256).cast("double") for m in (7, 13, 29)], _PALETTE)
+    p = table(spark, sf, "part").select(k.alias("id"), F.posexplode(near).alias("at", "n"))
     return p.select("id", (F.col("at") + 1).alias("rn"), "n.block", F.round("n.de", 4).alias("de"))
 
 
@@ -534,14 +532,14 @@ def page_weights(spark, sf):
 _LIFE = "CASE p_partkey % 7 WHEN 0 THEN 'current' WHEN 1 THEN 'proposed' WHEN 2 THEN 'refused' WHEN 3 THEN 'current' WHEN 4 THEN 'proposed' WHEN 5 THEN NULL ELSE 'superseded' END"
 
 
-@query(f"""WITH e AS (SELECT p_partkey % 400 AS k, CASE WHEN p_partkey % 400 < 250 AND p_partkey % 7 IN (2, 6) THEN 'current' ELSE {_LIFE} END AS state, (50 + p_partkey % 50) / 100.0::DOUBLE AS c, p_partkey % 3 = 0 AS title FROM part WHERE p_partkey % 5 < 2),
+@query(f"""WITH e AS (SELECT p_partkey % 400 AS k, CASE WHEN p_partkey % 400 < 250 AND p_partkey % 7 IN (2, 6) THEN 'current' ELSE {_LIFE} END AS state, (50 + p_partkey % 50) / 100.0::DOUBLE AS c, p_partkey % 3 = 0 AS title FROM part),
 g AS (SELECT k, max(c) FILTER (state IN ('refused', 'superseded')) AS x, arg_max(state, c * 1000 + CASE state WHEN 'superseded' THEN 0.5 ELSE 0 END) FILTER (state IN ('refused', 'superseded')) AS xs, max(c) FILTER (state = 'current') AS cur, max(c) FILTER (state = 'proposed') AS pro, max(c) FILTER (state = 'current' AND title) AS t FROM e GROUP BY 1)
 SELECT k, CASE WHEN x IS NOT NULL THEN xs WHEN cur IS NOT NULL AND pro IS NOT NULL THEN CASE WHEN t >= 0.95 AND t >= cur THEN 'current' ELSE 'unknown' END WHEN cur IS NOT NULL THEN 'current' WHEN pro IS NOT NULL THEN 'proposed' ELSE 'unknown' END AS state,
  CASE WHEN x IS NOT NULL THEN x WHEN cur IS NOT NULL AND pro IS NOT NULL THEN CASE WHEN t >= 0.95 AND t >= cur THEN cur ELSE least(cur, pro) END ELSE coalesce(cur, pro, 0.45) END::DOUBLE AS confidence FROM g""")
 def lifecycle_combine(spark, sf):
     k = F.col("p_partkey")
     state = F.when((k % 400 < 250) & (k % 7).isin(2, 6), "current").otherwise(F.expr(_LIFE))
-    e = table(spark, sf, "part").where("p_partkey % 5 < 2").select((k % 400).alias("k"), state.alias("state"), ((50 + k % 50) / 100.0).alias("confidence"), F.when(k % 3 == 0, "drawing-title-block").otherwise("application").alias("source"))
+    e = table(spark, sf, "part").select((k % 400).alias("k"), state.alias("state"), ((50 + k % 50) / 100.0).alias("confidence"), F.when(k % 3 == 0, "drawing-title-block").otherwise("application").alias("source"))
     return C.combine_lifecycle(e, "k")
 
 
@@ -600,10 +598,10 @@ def ride_summary(spark, sf):
     return C.ride_summary(s).drop("confidence")
 
 
-@query("""WITH a AS (SELECT p_brand AS k, p_partkey % 5 AS f, (60 + p_size) / 110.0::DOUBLE AS s, 1 AS n FROM part WHERE p_partkey % 50 < 2 OR p_brand < 'Brand#3'), g AS (SELECT k, sum(n)::BIGINT AS anchors, count(DISTINCT f) AS features, median(s) AS m FROM a GROUP BY 1)
+@query("""WITH a AS (SELECT p_brand || ':' || p_size AS k, p_partkey % 5 AS f, (60 + p_partkey % 51) / 110.0::DOUBLE AS s, 1 AS n FROM part), g AS (SELECT k, sum(n)::BIGINT AS anchors, count(DISTINCT f) AS features, median(s) AS m FROM a GROUP BY 1)
 SELECT k, anchors, features, CASE WHEN anchors >= 4 AND features >= 2 AND m >= 0.78 THEN 'proved' ELSE 'unproved' END AS status, CASE WHEN anchors >= 4 AND features >= 2 AND m >= 0.78 THEN floor(least(0.96, 0.84::DOUBLE + least(0.1, 0.015::DOUBLE * features) + least(0.02, 0.001::DOUBLE * anchors)) * 1000 + 0.5) / 1000 END AS confidence FROM g""")
 def application_proof(spark, sf):
-    a = table(spark, sf, "part").where("p_partkey % 50 < 2 or p_brand < 'Brand#3'").select(F.col("p_brand").alias("k"), (F.col("p_partkey") % 5).alias("feature"), ((60 + F.col("p_size")) / 110.0).alias("score"), F.lit(1).alias("n"))
+    a = table(spark, sf, "part").select(F.concat("p_brand", F.lit(":"), "p_size").alias("k"), (F.col("p_partkey") % 5).alias("feature"), ((60 + F.col("p_partkey") % 51) / 110.0).alias("score"), F.lit(1).alias("n"))
     return C.application_proof(a, "k").drop("median_score")
 
 
@@ -612,9 +610,9 @@ def palette_ids(spark, sf):
     return C.dense_palette(table(spark, sf, "part").select(F.concat("p_type", F.lit("/"), "p_brand").alias("block"), "p_partkey"), "block", "p_partkey")
 
 
-@query("""SELECT p_size AS style, CASE WHEN count(DISTINCT p_brand[7]) = 1 THEN min(p_brand[7]) END AS value, count(DISTINCT p_brand[7]) > 1 AS conflict FROM part WHERE p_partkey % 97 = 0 GROUP BY 1""")
+@query("""SELECT p_brand || '/' || p_size AS style, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) END AS value, count(DISTINCT p_type) > 1 AS conflict FROM part GROUP BY 1""")
 def style_conflicts(spark, sf):
-    return C.conflict_keys(table(spark, sf, "part").where("p_partkey % 97 = 0").select(F.col("p_size").alias("style"), F.substring("p_brand", 7, 1).alias("value")), "style", "value")
+    return C.conflict_keys(table(spark, sf, "part").select(F.concat("p_brand", F.lit("/"), "p_size").alias("style"), F.col("p_type").alias("value")), "style", "value")
 
 
 @query("""WITH e AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 11 != 0), s AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 13 != 0 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 17 = 0), n AS (SELECT k, count(*) AS n FROM s GROUP BY 1)
@@ -638,15 +636,6 @@ def coordinate_noise(spark, sf):
     return table(spark, sf, "customer").select(k.alias("id"), S.hash_2d(k * 31 % 4000 - 2000, k * 17 % 3000 - 1500, 5).alias("noise"))
 
 
-@query("""WITH c AS (SELECT p_partkey * 7 % 256 AS r, p_partkey * 13 % 256 AS g, p_partkey * 29 % 256 AS b FROM part), t AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS lum, CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)::DOUBLE ELSE 0 END AS sat, 2 * g - r - b AS ex FROM c)
-SELECT CASE WHEN lum < 28 THEN 'shadow' WHEN b > g + 6 AND b > r + 10 AND lum < 120 THEN 'water-candidate' WHEN ex > 22 AND lum < 75 THEN 'canopy' WHEN ex > 22 AND lum < 150 THEN 'grass' WHEN ex > 12 THEN 'vegetation' WHEN r > g AND g > b AND sat > 0.3 AND lum < 110 THEN 'soil-mulch' WHEN r >= g AND g > b AND sat > 0.22 AND lum < 190 THEN 'dry-grass'
- WHEN sat < 0.12 AND lum < 95 THEN 'rock-gravel' WHEN r > g AND g > b AND lum >= 190 THEN 'sand' WHEN sat < 0.15 THEN 'hardscape' ELSE 'unclassified' END AS class, count(*) AS n FROM t GROUP BY 1""")
-def aerial_classes(spark, sf):
-    k = F.col("p_partkey")
-    c = table(spark, sf, "part").select(L.aerial_class(*[(k * m % 256).cast("double") for m in (7, 13, 29)]).alias("class"))
-    return c.groupBy("class").agg(F.count("*").alias("n"))
-
-
 @query("""WITH p AS (SELECT user_id AS k, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::DOUBLE AS pos, event_id, value FROM events), a AS (SELECT k, pos, value AS v FROM p WHERE event_id % 5 = 0),
 n AS (SELECT p.k, p.pos, max(CASE WHEN event_id % 5 = 0 THEN pos END) OVER w1 AS lo, min(CASE WHEN event_id % 5 = 0 THEN pos END) OVER w2 AS hi FROM p WINDOW w1 AS (PARTITION BY k ORDER BY pos), w2 AS (PARTITION BY k ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT n.k, n.pos, round(CASE WHEN lo = hi THEN x.v WHEN hi > lo THEN x.v + (y.v - x.v) * (n.pos - lo) / (hi - lo) END, 9) AS level FROM n LEFT JOIN a x ON x.k = n.k AND x.pos = lo LEFT JOIN a y ON y.k = n.k AND y.pos = hi""")
@@ -666,12 +655,14 @@ def text_rules(spark, sf):
     return m.groupBy("name").agg(F.count("*").alias("n"), F.count_if("best").alias("best"))
 
 
-@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'site-plan' WHEN 1 THEN 'elevation' WHEN 2 THEN 'decision' WHEN 3 THEN 'unknown' ELSE 'supporting' END AS c FROM part)
-SELECT p_partkey AS k, CASE c WHEN 'site-plan' THEN 96 WHEN 'elevation' THEN 94 WHEN 'decision' THEN 45 WHEN 'unknown' THEN 10 ELSE 30 END AS priority FROM p ORDER BY priority DESC, k LIMIT 500""")
+@query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 100 WHEN 1 THEN 92 WHEN 2 THEN 45 WHEN 3 THEN 20 ELSE 35 END + CASE WHEN p_partkey % 3 = 0 THEN 4 ELSE 0 END AS priority FROM part)
+SELECT p_partkey AS k, priority, (SELECT count(*) FROM p) > 25000 AS truncated FROM p ORDER BY priority DESC, k LIMIT 25000""")
 def document_priority(spark, sf):
-    c = F.element_at(F.array(*map(F.lit, ["site-plan", "elevation", "decision", "unknown", "supporting"])), (F.col("p_partkey") % 5 + 1).cast("int"))
-    d = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), W.class_priority(c).alias("priority"))
-    return K.document_queue(d, "priority", "k", 500)[0]
+    """The document queue, 25,000 by contract, and whether that cut it."""
+    k = F.col("p_partkey")
+    c = F.element_at(F.array(*map(F.lit, ["site-plan", "elevation", "decision", "unknown", "supporting"])), (k % 5 + 1).cast("int"))
+    queue, cut = K.document_queue(table(spark, sf, "part").select(k.alias("k"), W.class_priority(c, k % 3 == 0).alias("priority")), "priority", "k")
+    return queue.join(F.broadcast(cut))
 
 
 @query("""WITH t AS (SELECT p_partkey % 300 AS k, p_size % 4 AS layer, (p_size % 4 + 1) / 2.0::DOUBLE AS resolution, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS value FROM part), m AS (SELECT k, layer, resolution, value, row_number() OVER (PARTITION BY k ORDER BY resolution, layer, value) AS rn FROM t WHERE value IS NOT NULL) SELECT k, value, layer FROM m WHERE rn = 1""")
@@ -687,20 +678,25 @@ def tombstones(spark, sf):
     return D.tombstones(o.where("k % 5 != 0"), o.where("k % 7 != 0"), "k").groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query("""WITH e AS (SELECT p_brand AS k, CASE p_partkey % 40 WHEN 0 THEN 'refused' WHEN 1 THEN 'current' WHEN 2 THEN 'proposed' END AS state FROM part WHERE p_partkey % 40 < 3 OR p_partkey < 40), g AS (SELECT k, bool_or(coalesce(state = 'refused', false)) AS x, bool_or(coalesce(state = 'current', false)) AS c, bool_or(coalesce(state = 'proposed', false)) AS p FROM e GROUP BY 1)
+@query("""WITH e AS (SELECT p_partkey // 4 AS k, CASE (p_partkey * 7 + p_partkey // 16) % 11 WHEN 0 THEN 'refused' WHEN 1 THEN 'current' WHEN 2 THEN 'proposed' WHEN 3 THEN 'current' WHEN 4 THEN 'proposed' WHEN 5 THEN 'superseded' END AS state FROM part),
+g AS (SELECT k, bool_or(coalesce(state IN ('refused', 'superseded'), false)) AS x, bool_or(coalesce(state = 'current', false)) AS c, bool_or(coalesce(state = 'proposed', false)) AS p FROM e GROUP BY 1)
 SELECT k, CASE WHEN x THEN 'excluded' WHEN c AND p THEN 'ambiguous' WHEN c THEN 'current' WHEN p THEN 'proposed' ELSE 'unknown' END AS decision FROM g""")
 def page_decisions(spark, sf):
-    m = F.col("p_partkey") % 40
-    e = table(spark, sf, "part").where("p_partkey % 40 < 3 or p_partkey < 40").select(F.col("p_brand").alias("k"), F.when(m == 0, "refused").when(m == 1, "current").when(m == 2, "proposed").alias("state"))
+    """Pages of four parts; the states follow from the keys, so that every decision occurs."""
+    k = F.col("p_partkey")
+    m = (k * 7 + F.floor(k / 16)) % 11
+    e = table(spark, sf, "part").select(F.floor(k / 4).alias("k"), F.when(m == 0, "refused").when(m.isin(1, 3), "current").when(m.isin(2, 4), "proposed").when(m == 5, "superseded").alias("state"))
     return D.page_decision(e, "k")
 
 
-@query("""WITH a AS (SELECT DISTINCT l_suppkey % 30 AS i, l_partkey % 50 AS x, l_linenumber AS z FROM lineitem WHERE l_orderkey % 20 = 0), b AS (SELECT DISTINCT l_suppkey % 7 AS j, l_partkey % 50 AS x, l_linenumber AS z FROM lineitem WHERE l_orderkey % 20 = 1),
-n AS (SELECT i, j, count(*) AS n FROM a JOIN b USING (x, z) GROUP BY ALL) SELECT i, j, round(n / least((SELECT count(*) FROM a q WHERE q.i = n.i), (SELECT count(*) FROM b q WHERE q.j = n.j))::DOUBLE, 9) AS overlap FROM n""")
+@query("""WITH a AS (SELECT DISTINCT l_suppkey AS i, l_partkey AS x, l_orderkey % 7 AS z FROM lineitem WHERE l_orderkey % 2 = 0), b AS (SELECT DISTINCT l_suppkey % 7 AS j, l_partkey AS x, l_orderkey % 7 AS z FROM lineitem WHERE l_orderkey % 2 = 1),
+n AS (SELECT i, j, count(*) AS n FROM a JOIN b USING (x, z) GROUP BY ALL), na AS (SELECT i, count(*) AS na FROM a GROUP BY 1), nb AS (SELECT j, count(*) AS nb FROM b GROUP BY 1)
+SELECT i, j, round(n / least(na, nb)::DOUBLE, 9) AS overlap FROM n JOIN na USING (i) JOIN nb USING (j)""")
 def cell_overlap(spark, sf):
+    """The cells of even orders against those of odd orders: both sides together are the whole table."""
     l = table(spark, sf, "lineitem")
-    of = lambda r, m, name: l.where(f"l_orderkey % 20 = {r}").select((F.col("l_suppkey") % m).alias(name), (F.col("l_partkey") % 50).alias("x"), F.col("l_linenumber").alias("z")).distinct()
-    return D.cell_overlap(of(0, 30, "i"), of(1, 7, "j"), "i", "j").select("i", "j", F.round("overlap", 9).alias("overlap"))
+    of = lambda r, key, name: l.where(f"l_orderkey % 2 = {r}").select(key.alias(name), F.col("l_partkey").alias("x"), (F.col("l_orderkey") % 7).alias("z")).distinct()
+    return D.cell_overlap(of(0, F.col("l_suppkey"), "i"), of(1, F.col("l_suppkey") % 7, "j"), "i", "j").select("i", "j", F.round("overlap", 9).alias("overlap"))
 
 
 @query()
@@ -763,3 +759,6 @@ def bilinear_samples(spark, sf):
     grid = table(spark, sf, "orders").groupBy((F.col("o_orderkey") % 40).alias("gx"), (F.floor(F.col("o_orderkey") / 40) % 40).cast("bigint").alias("gz")).agg(F.max("o_totalprice").alias("value"))
     p = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 37 % 4001 / 100.0).alias("x"), (F.col("c_custkey") * 53 % 4003 / 100.0).alias("z"))
     return R.bilinear(p, grid)
+
+
+from strataweave import queries_rules as _rules  # noqa: E402,F401

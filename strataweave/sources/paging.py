@@ -9,24 +9,35 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 class Page(InputPartition):
-    def __init__(self, offset: int):
-        self.offset = offset
+    def __init__(self, offset: int, follow: bool = False):
+        self.offset, self.follow = offset, follow
 
 
 def paged_source(name: str, schema: str, fetch: Callable[[int, int], list[dict]], size: int = 100) -> type[DataSource]:
-    """A data source class to register: ``fetch(offset, limit)`` gives the rows of a page. Option ``total`` says how many rows there are."""
+    """A data source class to register: ``fetch(offset, limit)`` gives the rows of a page.
+
+    Option ``total`` says how many rows there are: then every page is a partition. Without it one task asks page after page until a short one.
+    """
     columns = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     class Reader(DataSourceReader):
         def __init__(self, options):
-            self.total = int(options.get("total", size))
+            self.total = options.get("total")
 
         def partitions(self):
-            return [Page(k) for k in range(0, self.total, size)] or [Page(0)]
+            if self.total is None:
+                return [Page(0, True)]
+            return [Page(k) for k in range(0, int(self.total), size)] or [Page(0)]
 
         def read(self, partition):
-            for row in fetch(partition.offset, size):
-                yield tuple(json.dumps(row[c]) if isinstance(row.get(c), (dict, list)) else row.get(c) for c in columns)
+            at = partition.offset
+            while True:
+                rows = fetch(at, size)
+                for row in rows:
+                    yield tuple(json.dumps(row[c]) if isinstance(row.get(c), (dict, list)) else row.get(c) for c in columns)
+                if not partition.follow or len(rows) < size:
+                    return
+                at += size
 
     class Paged(DataSource):
         @classmethod
@@ -43,14 +54,15 @@ def paged_source(name: str, schema: str, fetch: Callable[[int, int], list[dict]]
 
 
 def count_by_paging(fetch: Callable[[int, int], list[dict]], size: int = 100, most: int = 100_000) -> int:
-    """Rows of an API that tells no total: pages are asked until a short one."""
+    """Rows of an API that tells no total: pages are asked until a short one; more than ``most`` is an error, not an end."""
     n = 0
-    while n < most:
+    while True:
         got = len(fetch(n, size))
         n += got
         if got < size:
-            break
-    return n
+            return n
+        if n >= most:
+            raise ValueError(f"the source has {most} rows or more")
 
 
 def with_retries(call: Callable[[], object], retryable=(408, 425, 429, 500, 502, 503, 504), attempts: int = 4, base_ms: int = 500, sleep=None):

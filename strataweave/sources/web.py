@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from strataweave.functions.ladders import document_class
 from strataweave.functions.scalars import is_safe_url
+from strataweave.functions.vocabulary import object_details as object_attributes  # noqa: F401
 
 ANCHOR = r"(?is)<a\b[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))[^>]*>(.*?)</a>"
-PRIORITY = {"ride-layout": 100, "site-plan": 96, "elevation": 94, "floor-plan": 90, "roof-plan": 90, "section": 88, "landscape": 86, "materials": 84, "survey": 82, "demolition": 80, "location-plan": 70, "drainage": 60, "design-access": 50, "decision": 45, "supporting": 30, "unknown": 10}
+# How soon a document of a class is fetched; four more if it is downloaded rather than looked for.
+PRIORITY = {"site-plan": 100, "location-plan": 94, "ride-layout": 96, "elevation": 92, "section": 91, "floor-plan": 88, "roof-plan": 88, "materials": 84, "landscape": 80, "demolition": 78, "survey": 75, "drainage": 68, "design-access": 55, "decision": 45, "supporting": 35, "unknown": 20}
 
 
 def strip_html(text: Column) -> Column:
@@ -31,20 +33,20 @@ def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return a.select(id_col, F.regexp_replace(full, "#.*$", "").alias("url"), strip_html(F.col("a.text")).alias("label")).where("url is not null and url != ''")
 
 
-def class_priority(classification: Column) -> Column:
+def class_priority(classification: Column, download: Column | None = None) -> Column:
+    """Priority of a document class, four more where ``download`` holds."""
     out = F.lit(PRIORITY["unknown"])
     for k, v in PRIORITY.items():
         out = F.when(classification == k, v).otherwise(out)
-    return out
+    return out if download is None else out + F.when(download, 4).otherwise(0)
 
 
 def document_links(links: DataFrame) -> DataFrame:
     """Safe links, once per address, with class, priority, and whether they lead straight to a file."""
     c = document_class("label", "url")
-    priority = class_priority(F.col("classification"))
     d = links.where(is_safe_url("url")).groupBy("url").agg(F.min("label").alias("label")).withColumn("classification", c)
     direct = F.lower(F.concat_ws(" ", "label", "url")).rlike(r"\b(download|document|attachment|file)\b") | F.lower("url").rlike(r"\.(pdf|docx?|xlsx?|dwg|dxf|tiff?|png|jpe?g)([?]|$)")
-    return d.withColumn("priority", priority).withColumn("direct", direct)
+    return d.withColumn("direct", direct).withColumn("priority", class_priority(F.col("classification"), F.col("direct")))
 
 
 def queue_items(links: DataFrame, application: str, action: str = "download", shards: int = 256) -> DataFrame:
@@ -95,7 +97,7 @@ def title_block(text: Column) -> Column:
 
 def levels(items: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """(keep..., label, value_m, confidence): labelled levels (.90) and values before AOD (.82), each once."""
-    labelled = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:FFL|SSL|AOD|GROUND LEVEL|GL|RIDGE|EAVES?|TOW|BOW|TOP OF WALL|BOTTOM OF WALL)\s*[:=]?\s*[+-]?\d{1,4}(?:\.\d{1,4})?"), F.lit(0))
+    labelled = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:FFL|SSL|AOD|RL|R\.?L\.?|GROUND LEVEL|GL|RIDGE|EAVES?|TOW|BOW|TOP OF WALL|BOTTOM OF WALL)\s*[:=]?\s*[+-]?\d{1,4}(?:\.\d{1,4})?"), F.lit(0))
     trailing = F.regexp_extract_all(text, F.lit(r"(?i)(?<![\d.])([+-]?\d{1,4}(?:\.\d{1,4})?)\s*m?\s*AOD\b"), F.lit(1))
     a = F.transform(labelled, lambda m: F.struct(F.upper(F.regexp_extract(m, r"(?i)^([A-Z ]*[A-Z])", 1)).alias("label"), F.regexp_extract(m, r"([+-]?\d{1,4}(?:\.\d{1,4})?)$", 1).cast("double").alias("value_m"), F.lit(0.90).alias("confidence")))
     b = F.transform(trailing, lambda m: F.struct(F.lit("AOD").alias("label"), m.cast("double").alias("value_m"), F.lit(0.82).alias("confidence")))
@@ -103,23 +105,6 @@ def levels(items: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return both.groupBy(*keep, "label", "value_m").agg(F.max("confidence").alias("confidence"))
 
 
-# Attribute patterns: name, pattern (first group), least and largest value that is believed.
-ATTRIBUTES = [
-    ("height_m", r"\b(?:height|ht)\s*[:=]?\s*([0-9]{1,3}(?:\.[0-9]{1,3})?)\s*m\b", 0.05, 250), ("width_m", r"\b(?:width|wd)\s*[:=]?\s*([0-9]{1,3}(?:\.[0-9]{1,3})?)\s*m\b", 0.05, 250),
-    ("length_m", r"\b(?:length|len)\s*[:=]?\s*([0-9]{1,4}(?:\.[0-9]{1,3})?)\s*m\b", 0.05, 2000), ("spacing_m", r"\b(?:spacing|centres|centers|c/c)\s*[:=]?\s*([0-9]{1,3}(?:\.[0-9]{1,3})?)\s*m\b", 0.05, 100),
-    ("diameter_mm", r"\b(?:diameter|dia\.?)\s*[:=]?\s*([0-9]{2,4})\s*mm\b", 10, 5000), ("crown_m", r"\b(?:crown|canopy)?\s*spread\s*[:=]?\s*([0-9]{1,3}(?:\.[0-9]{1,2})?)\s*m\b", 0.1, 100),
-    ("pitch_deg", r"\bpitch\s*[:=]?\s*([0-9]{1,2}(?:\.[0-9])?)\s*(?:deg|degrees?|°)", 0, 89.9), ("gradient_percent", r"\b(?:gradient|fall|slope)\s*[:=]?\s*([0-9]{1,2}(?:\.[0-9]+)?)\s*%", 0, 100),
-    ("gradient_ratio", r"\b1\s*[:/]\s*([0-9]{1,4}(?:\.[0-9]+)?)\b", 0.001, 9999), ("ral", r"\bral\s*[-:]?\s*([0-9]{4})\b", 1000, 9999),
-]
-
-
-def object_attributes(text: Column) -> Column:
-    """struct of the attributes in a text; values outside their range are unknown."""
-    t = F.lower(F.regexp_replace(text, r"\s+", " "))
-    value = lambda p: F.regexp_extract(t, p, 1).try_cast("double")
-    return F.struct(*[F.when(value(p).between(lo, hi), value(p)).alias(n) for n, p, lo, hi in ATTRIBUTES])
-
-
 def rule_matches(items: DataFrame, key: str, text: str, rules: DataFrame) -> DataFrame:
     """(key, rule, confidence, best): rules (rule_no, name, pattern, confidence, suppresses) found in each text.
 

@@ -22,13 +22,10 @@ def test_gates(spark):
     assert [(x.material, x.source) for x in s] == [("asphalt", "tag"), ("unknown", "fallback")]
 
 
-def test_signs_and_patterns(spark):
+def test_signs(spark):
     got = one(spark, D.wrap_sign(F.lit("The Quite Long Name Of A Very Big Attraction With Many Words And Then Some More Of Them")), D.wrap_sign(F.lit("Short")), D.wrap_sign(F.lit("x" * 45)))
     assert got[1] == ["Short"] and got[2] == ["x" * 20, "x" * 20, "x" * 5]
     assert len(got[0]) == 4 and all(len(x) <= 20 for x in got[0]) and got[0][-1].endswith("…")
-    df = spark.createDataFrame([(p, x, z) for p in ("checker", "stripes", "grid", "slabs", "running-bond", "herringbone", "none") for x in range(-4, 4) for z in range(-4, 4)], "p string, x int, z int")
-    counts = {r.p: r.s for r in df.withColumn("s", D.pattern_slot(F.col("p"), F.col("x"), F.col("z"))).groupBy("p").agg(F.sum("s").alias("s")).collect()}
-    assert counts["checker"] == counts["stripes"] == counts["slabs"] == counts["running-bond"] == 32 and counts["grid"] == 28 and counts["none"] == 0 and 0 < counts["herringbone"] < 64
 
 
 def test_edit_match(spark):
@@ -98,4 +95,4 @@ def test_placement(spark):
     assert D.support_levels(track, np.full(40, 9.0), 6.0, 3.0).tolist() == []
     lc = spark.createDataFrame([("a", "grass"), ("a", "grass"), ("a", "rock")], "k string, class string")
     assert {r["class"]: round(r.share, 3) for r in D.land_cover(lc, "k").collect()} == {"grass": 0.667, "rock": 0.333}
-    assert one(spark, D.cross_section_confidence(F.lit(1.0), F.lit(0.1), F.lit(30.0), F.lit(0.0), F.lit(True)), D.leaf_palette(F.lit(10.0), F.lit(60.0), F.lit(10.0), F.lit("needleleaved"))) == [1.0, "dark-needle"]
+    assert one(spark, D.cross_section_confidence(F.lit(1.0), F.lit(0.1), F.lit(30.0), F.lit(0.0), F.lit(True))) == [1.0]
