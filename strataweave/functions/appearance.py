@@ -23,20 +23,32 @@ def saturation(r: Column, g: Column, b: Column) -> Column:
     return F.when(top > 0, (top - F.least(r, g, b)) / top).otherwise(0.0)
 
 
+def _bind(value: Column, f) -> Column:
+    """``f`` of a value that is computed once: a bound variable, where the expression itself would be repeated wherever it is read."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _middle(values: Column) -> Column:
-    s, n = F.array_sort(values), F.size(values)
-    at = lambda k: F.element_at(s, k.cast("int"))
-    return (at(F.floor((n - 1) / 2) + 1) + at(F.floor(n / 2) + 1)) / 2
+    at = lambda s, k: F.element_at(s, k.cast("int"))
+    return _bind(F.array_sort(values), lambda s: (at(s, F.floor((F.size(s) - 1) / 2) + 1) + at(s, F.floor(F.size(s) / 2) + 1)) / 2)
 
 
 def patch_colour(samples: Column) -> Column:
     """struct(r, g, b, texture) of RGB samples: medians of the bands, and the median colour distance from them; null without samples."""
-    valid = F.filter(samples, lambda s: s["r"].isNotNull() & s["g"].isNotNull() & s["b"].isNotNull())
-    band = lambda k: half_up(_middle(F.transform(valid, lambda s: s[k].cast("double"))), 0)
-    r, g, b = map(band, "rgb")
-    own = srgb_to_lab(r, g, b)
-    texture = _middle(F.transform(valid, lambda s: delta_e76(srgb_to_lab(s["r"].cast("double"), s["g"].cast("double"), s["b"].cast("double")), own)))
-    return F.when(F.size(valid) > 0, F.struct(r.alias("r"), g.alias("g"), b.alias("b"), texture.alias("texture")))
+    whole = lambda s: F.struct(*[s[k].cast("double").alias(k) for k in "rgb"])
+    valid = F.transform(F.filter(samples, lambda s: s["r"].isNotNull() & s["g"].isNotNull() & s["b"].isNotNull()), whole)
+    lab = lambda c: srgb_to_lab(c["r"], c["g"], c["b"])
+
+    def band(v, k):
+        return half_up(_middle(F.transform(v, lambda s: s[k])), 0).alias(k)
+
+    def texture(v, own):
+        return _middle(F.transform(v, lambda s: _bind(lab(s), lambda p: delta_e76(p, own))))
+
+    def colour(v):
+        return _bind(F.struct(band(v, "r"), band(v, "g"), band(v, "b")), lambda m: _bind(lab(m), lambda own: F.struct(m["r"].alias("r"), m["g"].alias("g"), m["b"].alias("b"), texture(v, own).alias("texture"))))
+
+    return _bind(valid, lambda v: F.when(F.size(v) > 0, colour(v)))
 
 
 def aerial_class(r: Column, g: Column, b: Column, texture: Column | None = None) -> Column:
@@ -155,7 +167,6 @@ def path_role(tags: Column, kind: Column) -> Column:
 
 def nearest_blocks(r: Column, g: Column, b: Column, palette: dict[str, tuple[int, int, int]], n: int = 3, plausible: Column | None = None, penalty: float = 24.0) -> Column:
     """The ``n`` palette blocks nearest in colour, as array<struct<de, block>>; blocks not in ``plausible`` (names, by material) lie ``penalty`` farther."""
-    own = srgb_to_lab(r, g, b)
     far = lambda name: F.when(F.coalesce(F.array_contains(plausible, name), F.lit(True)), 0.0).otherwise(penalty) if plausible is not None else F.lit(0.0)
-    near = F.array(*[F.struct((delta_e76(own, srgb_to_lab(*[F.lit(float(c)) for c in rgb])) + far(name)).alias("de"), F.lit(name).alias("block")) for name, rgb in palette.items()])
-    return F.slice(F.array_sort(near), 1, n)
+    near = lambda own: F.array(*[F.struct((delta_e76(own, srgb_to_lab(*[F.lit(float(c)) for c in rgb])) + far(name)).alias("de"), F.lit(name).alias("block")) for name, rgb in palette.items()])
+    return F.slice(F.array_sort(_bind(srgb_to_lab(r, g, b), near)), 1, n)
