@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 20
@@ -61,8 +61,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").collect()}
-    first = Window.partitionBy("y").orderBy(F.xxhash64(id_col), id_col)
-    ids = [(r[0], r[1]) for r in known.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= per_class).select(id_col, "y").collect()]
+    ids = _lowest_hashes(known, id_col, {y: min(per_class, n) for y, n in sizes.items()}, sizes)
     kind = docs.schema[id_col].dataType.simpleString()
     wanted = F.broadcast(docs.sparkSession.createDataFrame(ids, f"id {kind}, y int"))
     text = docs.where(F.length(text_col).between(1, max_chars)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -71,6 +70,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64), sizes
 
 
+def _lowest_hashes(known: DataFrame, id_col: str, want: dict[int, int], sizes: dict[int, int]) -> list[tuple]:
+    """(id, y): of each label the ``want[y]`` ids with the lowest hashes.
+
+    The count of a label says below which hash about 1.2 times as many ids lie; only those are sent to the driver, so no task holds a label. A label that
+    falls short of its number is asked for again without a bound.
+    """
+    share = {y: min(1.0, (1.2 * n + 200) / sizes[y]) for y, n in want.items()}
+    picked: list[tuple] = []
+    while share:
+        bound = {y: (1 << 63) - 1 if f >= 1 else int(-(2**63) + f * 2**64) for y, f in share.items()}
+        at = F.create_map(*[F.lit(v) for kv in bound.items() for v in (kv[0], int(kv[1]))])
+        h = F.xxhash64(id_col)
+        rows = known.where(h <= F.try_element_at(at, F.col("y"))).select(F.col(id_col), "y", h.alias("h")).collect()
+        short = {}
+        for y in share:
+            mine = sorted(((r["h"], r[0]) for r in rows if r["y"] == y))[: want[y]]
+            if len(mine) < want[y] and share[y] < 1:
+                short[y] = 1.0
+            else:
+                picked += [(i, y) for _, i in mine]
+        share = short
+    return picked
+
+
 class Adam:
     def __init__(self, size: int, rate: float):
         self.m, self.v, self.t, self.rate = np.zeros(size), np.zeros(size), 0, rate
