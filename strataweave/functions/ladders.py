@@ -13,7 +13,7 @@ DOCUMENT_RULES = [
     ("roof-plan", r"\b(roof plan|roof layout)\b"),
     ("floor-plan", r"\b(floor plan|ground floor|first floor|second floor|floor layout)\b"),
     ("supporting", r"\b(landscape and visual impact assessment|visual impact assessment|lvia|environmental impact assessment|environmental statement|heritage statement|ecology report|arboricultural impact assessment)\b"),
-    ("landscape", r"\b(landscape site plan|landscape plan|landscaping plan|landscape layout|planting plan|tree plan|soft landscape( plan| layout)?|hard landscape( plan| layout| materials schedule)?|arboricultural plan)\b"),
+    ("landscape", r"\b(landscape site plan|landscape plan|landscaping plan|landscape layout|planting plan|tree plan|soft landscape(?: plan| layout)?|hard landscape(?: plan| layout| materials schedule)?|arboricultural plan)\b"),
     ("site-plan", r"\b(proposed site plan|site plan|block plan|general arrangement|masterplan|master plan|layout plan)\b"),
     ("location-plan", r"\b(location plan|site location|red line plan)\b"),
     ("elevation", r"\b(elevation|elevations|facade|façade)\b"),
@@ -46,6 +46,7 @@ TEMPORAL_RULES = [
     (r"proposed|pending|submitted|outline|reserved matters", "proposed", 0.90),
     (r"approved|granted|consent", "proposed", 0.72),
 ]
+# Which lifecycle state outranks which.
 LIFECYCLE_RANK = {"demolished": 9, "refused": 8, "withdrawn": 8, "superseded": 8, "current": 7, "proposed": 5}
 
 

@@ -16,6 +16,8 @@ def write_chunks(cells: DataFrame, path: str) -> None:
 
 def sub_chunks(cells: DataFrame, palette: DataFrame) -> DataFrame:
     """(cx, sy, cz, cells): 4,096 palette numbers per 16-cube, in the order x, z, y; cells that are not given are -1."""
+    if palette.limit(65_537).count() > 65_536:
+        raise ValueError("a palette has at most 65,536 entries")
     p = cells.join(F.broadcast(palette), "block")
     at = (F.pmod("x", F.lit(16)) * 16 + F.pmod("z", F.lit(16))) * 16 + F.pmod("y", F.lit(16))
     keyed = p.select(floor_div("x", 16).alias("cx"), floor_div("y", 16).alias("sy"), floor_div("z", 16).alias("cz"), F.struct(at.cast("int").alias("at"), F.col("palette_id").cast("int").alias("id")).alias("c"))

@@ -82,6 +82,7 @@ def crawl_index(lines: DataFrame, col: str = "value") -> DataFrame:
     return j.where(ok).withColumns({"offset": F.col("offset").cast("bigint"), "length": F.col("length").cast("bigint")})
 
 
+# Fixed values of the two functions below: what a title block and a level label look like.
 def title_block(text: Column) -> Column:
     """struct(scale, scale_ambiguous, drawing_number, revision, status): a scale only where it is the only one."""
     t = F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -13,10 +13,16 @@ def fresh_captures(crawl: DataFrame, watermark: str = "168 hours") -> DataFrame:
     return crawl.withWatermark("seen_at", watermark).dropDuplicatesWithinWatermark(["url", "content_hash"])
 
 
-def content_changes(crawl: DataFrame) -> DataFrame:
-    """(url, previous_hash, content_hash, seen_at) whenever an address shows other content than before; the first sight is no change."""
+def content_changes(crawl: DataFrame, forget_after_ms: int = 400 * 86_400_000) -> DataFrame:
+    """(url, previous_hash, content_hash, seen_at) whenever an address shows other content than before; the first sight is no change.
+
+    An address that is not seen for ``forget_after_ms`` of processing time is forgotten, so the state holds what is still crawled.
+    """
 
     def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = []
         for f in frames:
@@ -25,9 +31,10 @@ def content_changes(crawl: DataFrame) -> DataFrame:
                     rows.append((key[0], last, h, at))
                 last = h
         state.update((last,))
+        state.setTimeoutDuration(forget_after_ms)
         yield pd.DataFrame(rows, columns=["url", "previous_hash", "content_hash", "seen_at"])
 
-    return crawl.groupBy("url").applyInPandasWithState(step, "url string, previous_hash string, content_hash string, seen_at timestamp", "content_hash string", "append", GroupStateTimeout.NoTimeout)
+    return crawl.groupBy("url").applyInPandasWithState(step, "url string, previous_hash string, content_hash string, seen_at timestamp", "content_hash string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def hourly_counts(crawl: DataFrame, late: str = "2 hours") -> DataFrame:
