@@ -51,6 +51,56 @@ def patch_colour(samples: Column) -> Column:
     return _bind(valid, lambda v: F.when(F.size(v) > 0, colour(v)))
 
 
+def ground_patch(samples: Column, least: int = 8) -> Column:
+    """struct(r, g, b, texture) of RGB samples as orthophoto rules read them: medians of the bands, not rounded, and the mean colour distance from them; null below ``least`` samples."""
+    lab = lambda c: srgb_to_lab(c["r"], c["g"], c["b"])
+    whole = F.transform(F.filter(samples, lambda s: s["r"].isNotNull() & s["g"].isNotNull() & s["b"].isNotNull()), lambda s: F.struct(*[s[k].cast("double").alias(k) for k in "rgb"]))
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+
+    def colour(v):
+        band = lambda k: _middle(F.transform(v, lambda s: s[k])).alias(k)
+        bands = F.struct(*[band(k) for k in "rgb"])
+        return _bind(bands, lambda m: _bind(lab(m), lambda own: F.struct(m["r"].alias("r"), m["g"].alias("g"), m["b"].alias("b"), mean(F.transform(v, lambda s: delta_e76(lab(s), own))).alias("texture"))))
+
+    return _bind(whole, lambda v: F.when(F.size(v) >= least, colour(v)))
+
+
+def ground_material(p: Column, gsd: Column) -> Column:
+    """struct(value, confidence) of a ``ground_patch`` at ``gsd`` metres a pixel (none: 1), the first rule that holds; null without a patch, no value at confidence 0 without a rule."""
+    r, g, b, t = (p[k] for k in ("r", "g", "b", "texture"))
+    light, sat, res = srgb_to_lab(r, g, b)["l"], saturation(r, g, b), F.coalesce(F.nullif(gsd, F.lit(0.0)), F.lit(1.0))
+    # Material, condition, confidence, its bounds. In order.
+    rules = [
+        ("asphalt", (sat < 0.2) & (light < 52) & (t < 14), 0.84 + (0.5 - res) * 0.08 - t / 180, 0.68, 0.92),
+        ("concrete", (sat < 0.18) & (light >= 52) & (light < 86) & (t < 12), 0.83 + (0.5 - res) * 0.06 - t / 180, 0.67, 0.9),
+        ("gravel", (sat < 0.24) & (t > 18), 0.72 + (0.5 - res) * 0.08, 0.58, 0.8),
+        ("earth", (r > g * 1.13) & (g > b * 1.12) & sat.between(0.18, 0.62) & light.between(28, 68), 0.74 + clamp(1 - F.abs(t - 10) / 18, 0, 1) * 0.12 + (0.5 - res) * 0.05, 0.68, 0.88),
+        ("paving_stones", (r > g * 1.15) & (g > b * 1.05) & (res <= 0.35), F.lit(0.7), 0.7, 0.7),
+    ]
+    row = lambda name, c: F.struct(F.lit(name).cast("string").alias("value"), c.cast("double").alias("confidence"))
+    found = reduce(lambda c, rule: c.when(rule[1], row(rule[0], half_up(clamp(rule[2], *rule[3:]), 3))), rules, F.when(p.isNull(), None))
+    return found.otherwise(row(None, F.lit(0.0)))
+
+
+def ground_pattern(p: Column, gsd: Column) -> Column:
+    """struct(value, confidence): 'solid' for an even ``ground_patch`` at .6 m a pixel or finer, else no value; null without a patch."""
+    even = (p["texture"] < 7) & (F.coalesce(F.nullif(gsd, F.lit(0.0)), F.lit(1.0)) <= 0.6)
+    row = lambda name, c: F.struct(F.lit(name).cast("string").alias("value"), c.cast("double").alias("confidence"))
+    return F.when(p.isNull(), None).when(even, row("solid", half_up(clamp(0.91 - p["texture"] / 80, 0.82, 0.93), 3))).otherwise(row(None, F.lit(0.0)))
+
+
+# Factor of a ground class on planting, for shrubland and for trees; classes on which nothing is planted.
+PLANTING = {"dense-tree-canopy": (1.05, 1.45), "vegetation": (1.15, 1.15), "grass": (0.65, 0.28), "dry-grass": (0.55, 0.18), "soil-mulch": (0.5, 0.2), "rock-gravel": (0.08, 0.08), "sand": (0.08, 0.08)}
+UNPLANTED, OTHER_GROUND = ("water-candidate", "neutral-hardscape-candidate", "shadow"), 0.65
+
+
+def planting_factor(ground: Column, model: Column) -> Column:
+    """How likely a plant of ``model`` is put on a ground class: 1 where the class is unknown."""
+    shrub = F.coalesce(model == "shrubland", F.lit(False))
+    known = reduce(lambda c, kv: c.when(ground == kv[0], F.when(shrub, kv[1][0]).otherwise(kv[1][1])), PLANTING.items(), F.when(ground.isNull(), 1.0).when(ground.isin(*UNPLANTED), 0.0))
+    return known.otherwise(OTHER_GROUND)
+
+
 def aerial_class(r: Column, g: Column, b: Column, texture: Column | None = None) -> Column:
     """struct(class, confidence, eligible, density) of a patch by its median bands (0 to 255) and its texture, the first rule that holds.
 

@@ -114,9 +114,39 @@ def suppress_water(mapped: DataFrame, official: DataFrame, least: float = 0.62)
 
 
 def water_level(samples: DataFrame, key: str) -> DataFrame:
-    """Level of each water body: its tag, or the median of the shore if this spreads by 4 m at most, else unknown."""
-    g = samples.groupBy(key).agg(F.max("tag_level").alias("t"), F.median("shore").alias("m"), (F.percentile("shore", 0.9) - F.percentile("shore", 0.1)).alias("spread"))
-    return g.select(key, F.coalesce("t", F.when(F.col("spread") <= 4, F.col("m"))).alias("level"), F.when(F.col("t").isNotNull(), "tag").when(F.col("spread") <= 4, "shoreline").otherwise("unknown").alias("source"))
+    """Level of each water body: its tag, or the median of four shore samples or more if these spread by 4 m at most, else unknown. A shore counts for still water only."""
+    g = samples.groupBy(key).agg(F.max("tag_level").alias("t"), F.median("shore").alias("m"), (F.percentile("shore", 0.9) - F.percentile("shore", 0.1)).alias("spread"), F.count("shore").alias("n"))
+    level = (F.col("spread") <= 4) & (F.col("n") >= 4)
+    confidence = F.when(F.col("t").isNull() & level, F.greatest(F.lit(0.55), F.least(F.lit(0.92), 0.92 - F.col("spread") * 0.08)))
+    return g.select(key, F.coalesce("t", F.when(level, F.col("m"))).alias("level"), F.when(F.col("t").isNotNull(), "tag").when(level, "shoreline").otherwise("unknown").alias("source"), confidence.alias("shore_confidence"))
+
+
+# Rank of a water source by the prefix of its id, then by provider; providers whose depths are only reported.
+WATER_RANKS = [("override:", 500), ("planning:", 400), ("public:", 300)]
+PROVIDER_RANKS = [("OpenStreetMap", 100), ("Overture Maps Foundation", 80)]
+
+
+def water_rank(id_: Column, provider: Column, rank: Column, verified: Column) -> Column:
+    """Authority of a water source: its own rank, else by id, provider, and whether its plan is verified."""
+    c = F.when(rank.isNotNull(), rank)
+    for prefix, n in WATER_RANKS:
+        c = c.when(id_.startswith(prefix), n)
+    for name, n in PROVIDER_RANKS:
+        c = c.when(provider == name, n)
+    return c.when(verified, 300).otherwise(150).cast("int")
+
+
+def water_depth(direct: Column, maximum: Column, rank: Column, provider: Column) -> Column:
+    """struct(depth, max_depth, source, confidence, status): a depth is trusted from ranks above 100 outside the open maps, and within 200 m (mean) or 500 m (greatest)."""
+    trusted = (rank > 100) & ~F.coalesce(provider.isin(*[n for n, _ in PROVIDER_RANKS]), F.lit(False))
+    row = lambda d, m, s, c, st: F.struct(d.cast("double").alias("depth"), m.cast("double").alias("max_depth"), F.lit(s).cast("string").alias("source"), F.lit(c).cast("double").alias("confidence"), F.lit(st).alias("status"))
+    no = F.lit(None)
+    return (
+        F.when(trusted & (direct > 0) & (direct <= 200), row(direct, no, "verified-public-depth", 0.9, "measured"))
+        .when(trusted & (maximum > 0) & (maximum <= 500), row(no, maximum, "verified-public-max-depth", 0.82, "measured-max-depth"))
+        .when(direct.isNotNull() | maximum.isNotNull(), row(no, no, "untrusted-reported-depth", 0.35, "reported-not-bathymetry"))
+        .otherwise(row(no, no, None, None, "unknown"))
+    )
 
 
 def nearest_label(things: DataFrame, labels: DataFrame, key: str, reach: float) -> DataFrame:
@@ -245,6 +275,19 @@ def first_seen(pages: DataFrame, key: list[str], order: str) -> DataFrame:
     return pages.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r"), F.min(order).alias(order)).select(*key, order, "_r.*")
 
 
+def merge_bundles(pages: DataFrame, documents: DataFrame, fallback: DataFrame, counts: list[str]) -> DataFrame:
+    """One row: distinct documents, pages, sums of ``counts`` over the pages, and pages left to a raster reader, of several extraction bundles.
+
+    A page (content_hash, page) counts as the first bundle has it (``bundle``, then ``seq``); documents without a hash are not counted.
+    """
+    p = pages.withColumn("_order", F.struct("bundle", "seq")).drop("bundle", "seq")
+    p = first_seen(p, ["content_hash", "page"], "_order").agg(F.count("*").alias("pages"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts])
+    d = documents.agg(F.count_distinct("content_hash").alias("documents"))
+    r = fallback.select(F.coalesce("content_hash", F.lit("")).alias("h"), F.coalesce("page", F.lit(0)).alias("p")).distinct().agg(F.count("*").alias("fallback_pages"))
+    return p.join(d, how="cross").join(r, how="cross")  # one row each
+
+
+
 def tombstones(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(key, change): what went and what came, between two states."""
     b, a = before.select(key).distinct().withColumn("b", F.lit(1)), after.select(key).distinct().withColumn("a", F.lit(1))

@@ -47,6 +47,38 @@ def bracket_levels(samples: DataFrame, anchors: DataFrame, key: list[str], at: s
     return d.where("_sample").withColumn("bracketed", value).drop("_a", "_b", "_anchor", "_sample")
 
 
+def merged_anchors(anchors: DataFrame, key: list[str], at: str, level: str, confidence: str, ref: str, within: float = 0.75) -> DataFrame:
+    """Runs of anchors, each within ``within`` of the one before it, as one: median place and level, least confidence, all references in order."""
+    w = Window.partitionBy(*key).orderBy(at)
+    first = F.coalesce(F.col(at) - F.lag(at).over(w) > within, F.lit(True)).cast("int")
+    d = anchors.select(*key, at, level, confidence, ref).withColumn("_first", first).withColumn("_run", F.sum("_first").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(*key, "_run").agg(F.median(at).alias(at), F.median(level).alias(level), F.min(confidence).alias(confidence), F.array_join(F.array_sort(F.collect_set(ref)), "|").alias(ref)).drop("_run")
+
+
+def anchored_profile(samples: DataFrame, anchors: DataFrame, key: list[str], at: str, level: str, confidence: str, ref: str, spacing: float = 1.0, within: float = 0.75, apart: float = 5.0) -> DataFrame:
+    """Samples with level, confidence, evidence and references from merged anchors of their line, which must be two at least and span ``apart``.
+
+    A sample at .45 of the spacing or nearer takes the anchor before it, else the one after it ('planning-verified'); between two anchors it lies on the line
+    with .82 of the weaker confidence ('interpolated'); outside them it stays unknown ('none').
+    """
+    m = merged_anchors(anchors, key, at, level, confidence, ref, within)
+    line = Window.partitionBy(*key)
+    m = m.withColumn("_wide", F.max(at).over(line) - F.min(at).over(line)).withColumn("_n", F.count("*").over(line)).where((F.col("_n") >= 2) & (F.col("_wide") >= apart))
+    known = F.struct(F.col(at).alias("at"), F.col(level).alias("v"), F.col(confidence).alias("c"), F.col(ref).alias("s"))
+    both = samples.withColumn("_sample", F.lit(True)).unionByName(m.select(*key, at, known.alias("_anchor")), allowMissingColumns=True)
+    w = Window.partitionBy(*key).orderBy(at, F.col("_sample").asc_nulls_last())  # samples before an anchor at their place
+    d = both.withColumn("_a", F.last("_anchor", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first("_anchor", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("_sample")
+    a, b, x, near = F.col("_a"), F.col("_b"), F.col(at), spacing * 0.45
+    inside = b.isNotNull() & (a.isNotNull() | (x == b["at"]))
+    direct = F.when(inside & (x - a["at"] <= near), a).when(inside & (b["at"] - x <= near), b)
+    d = d.withColumn("_d", direct)
+    part = (x - a["at"]) / (b["at"] - a["at"])
+    pick = lambda f, between: F.when(F.col("_d").isNotNull(), F.col("_d")[f]).when(inside, between)
+    out = {level: pick("v", a["v"] + (b["v"] - a["v"]) * part), confidence: pick("c", F.least(a["c"], b["c"]) * 0.82), ref: pick("s", F.concat_ws("|", a["s"], b["s"]))}
+    evidence = F.when(F.col("_d").isNotNull(), "planning-verified").when(inside, "interpolated").otherwise("none")
+    return d.withColumns({**out, "evidence": evidence}).drop("_a", "_b", "_d", "_anchor", "_sample")
+
+
 def spaced(df: DataFrame, key: list[str], order: list[str], travelled: str, spacing: float) -> DataFrame:
     """Rows at which a place is due: the first at half the spacing, then every spacing of ``travelled``; several due on one step are one."""
     w = Window.partitionBy(*key).orderBy(*order)
@@ -131,16 +163,24 @@ def viterbi_profile(candidates: DataFrame, key: str, at: str, height: str, quali
     return candidates.select(key, F.col(at).cast("double").alias(at), height, quality).groupBy(key).applyInArrow(run, f"{key} {kind}, {at} double, {height} double, {quality} double")
 
 
-def blue_noise(df: DataFrame, key: str, x: str, z: str, spacing: float, seed: int = 0) -> DataFrame:
-    """Points of each key thinned in order of their coordinate hash: one stays if none before it is nearer than ``spacing``. Sequential by nature, so a key is one group."""
+def blue_noise(df: DataFrame, key: str, x: str, z: str, spacing: float, seed: int = 0, multiplier: Column | None = None, target: Column | None = None) -> DataFrame:
+    """Points of each key thinned in order of their coordinate hash: one stays if none before it is nearer than ``spacing``.
+
+    The hash is divided by ``multiplier``, so points of a high one come first; points without a positive one take no part. A key ends at its ``target``
+    (the smallest of its points' values), if there is one. Sequential by nature, so a key is one group.
+    """
     from strataweave.functions.scalars import hash_2d
 
     def run(k, t):
         xs, zs = t.column(x).to_numpy(), t.column(z).to_numpy()
-        order = np.lexsort((zs, xs, t.column("_h").to_numpy()))
+        order = np.lexsort((xs, zs, t.column("_h").to_numpy(), t.column("_score").to_numpy()))
+        targets = [v for v in t.column("_target").to_pylist() if v is not None]
+        most = min(targets) if targets else len(order)
         grid: dict[tuple[int, int], list[int]] = {}
         keep = []
         for i in order:
+            if len(keep) >= most:
+                break
             c = (int(xs[i] // spacing), int(zs[i] // spacing))
             near = (j for a in (-1, 0, 1) for b in (-1, 0, 1) for j in grid.get((c[0] + a, c[1] + b), ()))
             if all(np.hypot(xs[i] - xs[j], zs[i] - zs[j]) >= spacing for j in near):
@@ -149,7 +189,10 @@ def blue_noise(df: DataFrame, key: str, x: str, z: str, spacing: float, seed: in
         return t.take(pa.array(sorted(keep), pa.int64())).select([key, x, z])
 
     kind = df.schema[key].dataType.simpleString()
-    d = df.select(key, F.col(x).cast("double").alias(x), F.col(z).cast("double").alias(z)).withColumn("_h", hash_2d(F.floor(F.col(x) + 0.5), F.floor(F.col(z) + 0.5), seed))
+    m = multiplier.cast("double") if multiplier is not None else F.lit(1.0)
+    n = target.cast("bigint") if target is not None else F.lit(None).cast("bigint")
+    d = df.select(key, F.col(x).cast("double").alias(x), F.col(z).cast("double").alias(z), m.alias("_m"), n.alias("_target")).withColumn("_h", hash_2d(F.floor(F.col(x) + 0.5), F.floor(F.col(z) + 0.5), seed))
+    d = d.where(F.col("_m") > 0).withColumn("_score", F.col("_h") / F.col("_m")).drop("_m")
     return d.groupBy(key).applyInArrow(run, f"{key} {kind}, {x} double, {z} double")
 
 

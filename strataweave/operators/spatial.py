@@ -150,3 +150,22 @@ def overlap_fraction(samples: DataFrame, segments: DataFrame, line_id: str, tole
 
 def overlap_decision(fraction: Column) -> Column:
     return F.when(fraction >= 0.8, "duplicate").when(fraction >= 0.2, "partial-overlap").otherwise("accept")
+
+
+def relations_over_ways(features: DataFrame, size: float = 32.0, least: float = 0.9, eps: float = 1e-9) -> DataFrame:
+    """Features (id, element, kind, subtype, name, box) without the ways that a relation of the same kind, subtype and name covers to ``least`` on both axes.
+
+    Names are compared trimmed, in lower case, with single spaces; features without a name stay.
+    """
+    name = F.regexp_replace(F.lower(F.trim("name")), r"\s+", " ")
+    named = features.select("id", "element", F.when(name != "", F.concat_ws("|", F.coalesce("kind", F.lit("")), F.coalesce("subtype", F.lit("")), name)).alias("_key"), *BOX).where("_key is not null")
+    p, q = F.col("l"), F.col("r")
+
+    def covered(a, b):
+        span = p[b] - p[a]
+        inside = (p[a] >= q[a] - eps) & (p[a] <= q[b] + eps)
+        return F.when(span <= eps, inside.cast("double")).otherwise((F.least(p[b], q[b]) - F.greatest(p[a], q[a])) / span)
+
+    pairs = near_boxes(named.where("element = 'way'"), named.where("element = 'relation'"), size)
+    gone = pairs.where((p["_key"] == q["_key"]) & (covered("min_x", "max_x") >= least) & (covered("min_z", "max_z") >= least)).select(p["id"].alias("id")).distinct()
+    return features.join(gone, "id", "left_anti")

@@ -763,3 +763,4 @@ def bilinear_samples(spark, sf):
 
 from strataweave import queries_rules as _rules  # noqa: E402,F401
 from strataweave import queries_places as _places  # noqa: E402,F401
+from strataweave import queries_proof as _proof  # noqa: E402,F401
