@@ -228,11 +228,11 @@ def _object_details(t: Column) -> Column:
     return F.struct(object_code(t).alias("code"), *[c.alias(n) for n, c in found.items()], F.when(t.rlike(rf"\b(?:{_SPECIES})\b"), species["s"]).alias("species"), status.alias("status"))
 
 
-def text_windows(items: DataFrame, page: list[str], most: int = 4, line_tolerance: float = 3.5, gap: float = 28.0) -> DataFrame:
+def text_windows(items: DataFrame, page: list[str], most: int = 4, line_tolerance: float = 3.5, gap: float = 28.0, with_items: bool = False) -> DataFrame:
     """Runs of up to ``most`` neighbouring texts on one line: (page, first, n, raw, x, y, factor) from items (page, item, text, x, y, width, size).
 
     Items are in one line if each next one, from the top, lies within the tolerance of the one before it; a run ends where the gap to the next item is wider than
-    ``gap`` and 2.2 times the letters, or reaches back too far. A page of a drawing is one group.
+    ``gap`` and 2.2 times the letters, or reaches back too far. A page of a drawing is one group. ``with_items`` adds the items of each run.
     """
     down = Window.partitionBy(*page).orderBy(F.col("y").desc(), "x", "item")
     jump = F.coalesce(F.lag("y").over(down) - F.col("y") > line_tolerance, F.lit(True))
@@ -248,4 +248,4 @@ def text_windows(items: DataFrame, page: list[str], most: int = 4, line_toleranc
     d = d.withColumn("_w", F.collect_list(F.struct("item", "text", "y")).over(ahead)).withColumn("n", F.explode(F.sequence(F.lit(1), F.size("_w"))))
     used = F.slice("_w", 1, F.col("n"))
     factor = F.when(F.col("n") == 1, 1.0).otherwise(F.greatest(F.lit(0.88), 1 - 0.035 * (F.col("n") - 1)))
-    return d.select(*page, F.col("item").alias("first"), "n", F.array_join(F.transform(used, lambda u: u["text"]), " ").alias("raw"), "x", (F.aggregate(used, F.lit(0.0), lambda s, u: s + u["y"]) / F.col("n")).alias("y"), factor.alias("factor"))
+    return d.select(*page, F.col("item").alias("first"), "n", F.array_join(F.transform(used, lambda u: u["text"]), " ").alias("raw"), "x", (F.aggregate(used, F.lit(0.0), lambda s, u: s + u["y"]) / F.col("n")).alias("y"), factor.alias("factor"), *([F.transform(used, lambda u: u["item"]).alias("items")] if with_items else []))

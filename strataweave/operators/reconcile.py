@@ -62,12 +62,13 @@ def fill_style(colour: Column, step: int = 4) -> Column:
     return F.when((F.size(colour) == 3) & ~F.forall(q, lambda v: v >= 248), F.concat(F.lit("fill:"), F.array_join(q.cast("array<string>"), ",")))
 
 
-def hatch_style(dx: Column, dz: Column, colour: Column, width: Column) -> Column:
-    """Key of a hatch stroke of 1.5 to 220 points: angle in 15 degree steps, colour in steps of 8, width in quarters."""
+def hatch_style(dx: Column, dz: Column, colour: Column, width: Column, dash: Column | None = None) -> Column:
+    """Key of a hatch stroke of 1.5 to 220 points: angle in 15 degree steps, colour in steps of 8, width in quarters; the first six dashes in halves, if given."""
     n = F.hypot(dx, dz)
     angle = F.pmod(F.floor(F.pmod(F.degrees(F.atan2(dz, dx)), F.lit(180.0)) / 15 + 0.5) * 15, F.lit(180))
     q = F.transform(colour, lambda v: F.floor(v / 8 + 0.5) * 8)
-    return F.when(n.between(1.5, 220), F.concat_ws(":", F.lit("hatch"), F.concat(F.lit("a"), angle.cast("int")), F.concat(F.lit("c"), F.array_join(q.cast("array<string>"), ",")), F.concat(F.lit("w"), F.floor(width * 4 + 0.5) / 4)))
+    steps = [] if dash is None else [F.concat(F.lit("d"), F.array_join(F.transform(F.slice(dash, 1, 6), lambda v: (F.floor(v * 2 + 0.5) / 2).cast("string")), ","))]
+    return F.when(n.between(1.5, 220), F.concat_ws(":", F.lit("hatch"), F.concat(F.lit("a"), angle.cast("int")), F.concat(F.lit("c"), F.array_join(q.cast("array<string>"), ",")), F.concat(F.lit("w"), F.floor(width * 4 + 0.5) / 4), *steps))
 
 
 def duplicate_confidence(a: dict[str, Column], b: dict[str, Column], tolerance: Column) -> Column:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from strataweave.core.session import table
 from strataweave.functions import appearance as A
 from strataweave.operators import details as D
+from strataweave.operators import legend as N
 from strataweave.operators import ordered as O
 from strataweave.operators import proof as P
 from strataweave.operators import spatial as J
+from strataweave.plans.extraction import extract
 from strataweave.queries import _BOX, _boxes, query
 from strataweave.queries_rules import _pick, _sql_pick
 
@@ -177,3 +179,42 @@ def merged_bundles(spark, sf):
     p = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 3).alias("bundle"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), h.alias("content_hash"), F.col("l_linenumber").alias("page"), F.col("l_quantity").cast("bigint").alias("geometry"), (F.col("l_suppkey") % 5).alias("levels"), (k % 4).alias("materials"))
     d = table(spark, sf, "lineitem").select(F.when(k % 7 > 0, h).alias("content_hash"))
     return D.merge_bundles(p, d, p.where("geometry < 5").select("content_hash", "page"), ["geometry", "levels", "materials"])
+
+
+# ---------------------------------------------------------------- drawings
+
+_WRITTEN = ["S1", "Gravel", "S-2", "Red tarmac surfacing", "FFL 12.50", "PV10", "Paving slabs", "Timber bench", "S1", "Scale 1:200", "S-2", "plain words"]
+_FILLS = ["fill:8,8,8", "fill:200,0,0", None, "fill:0,0,200", None]
+
+
+def _drawings(spark, sf):
+    """Texts and paths of pages of forty parts: codes stand before their labels, each page has a few swatches and hatched shapes."""
+    k = F.col("p_partkey")
+    page = F.floor(k / 40).alias("page")
+    x, z = (k * 37 % 560).cast("double"), (F.floor(k / 2) * 53 % 390).cast("double")
+    parts = table(spark, sf, "part")
+    texts = parts.select(page, k.alias("item"), _pick(_WRITTEN, k % 12).alias("text"), (F.floor(k / 2) * 37 % 560 + k % 2 * 30).cast("double").alias("x"), z.alias("y"), F.lit(8.0).alias("size"), F.lit(20.0).alias("width"))
+    wide = F.when(k % 3 == 0, 12.0).when(k % 3 == 1, 60.0).otherwise(150.0)
+    shape = parts.select(page, (k * 10).alias("path"), F.lit(True).alias("closed"), (k % 3 > 0).alias("meaningful"), _pick(_FILLS, k % 5).alias("fill_key"), F.lit(None).cast("string").alias("hatch_key"), x.alias("min_x"), z.alias("min_z"), (x + wide).alias("max_x"), (z + wide).alias("max_z"))
+    step = F.explode(F.sequence(F.lit(1), F.lit(5)))
+    stroke = parts.select(page, k, x.alias("x"), z.alias("z"), step.alias("i")).select("page", (k * 10 + F.col("i")).alias("path"), F.lit(False).alias("closed"), F.lit(False).alias("meaningful"), F.lit(None).cast("string").alias("fill_key"), F.concat(F.lit("hatch:a"), k % 4 * 45).alias("hatch_key"), (F.col("x") + F.col("i")).alias("min_x"), (F.col("z") + F.col("i")).alias("min_z"), (F.col("x") + F.col("i") + 4).alias("max_x"), (F.col("z") + F.col("i") + 4).alias("max_z"))
+    return texts, shape.unionByName(stroke)
+
+
+@query()
+def legend_materials(spark, sf):
+    texts, paths = _drawings(spark, sf)
+    named = {"Gravel": "gravel", "Red tarmac surfacing": "red_tarmac", "Paving slabs": "paving_stones"}
+    material = F.coalesce(*[F.when(F.col("text") == t, m) for t, m in named.items()])
+    labels = texts.withColumn("material", material).where("material is not null").select("page", F.col("item").alias("label"), "material", F.lit("surface").alias("role"), F.lit(0.9).alias("confidence"), "x", "y", F.array("item").alias("items"))
+    t = texts.drop("width")
+    return N.legend_observations(N.legend_entries(labels, t, paths), t, paths)
+
+
+@query()
+def drawing_evidence(spark, sf):
+    texts, paths = _drawings(spark, sf)
+    k = F.col("p_partkey")
+    pages = table(spark, sf, "part").groupBy(F.floor(k / 40).alias("page")).agg(F.min(k).alias("k"))
+    pages = pages.select("page", _pick(["unknown", "site-plan", "landscape", "elevation"], F.col("page") % 4).alias("class"), F.when(F.col("page") % 3 == 0, "Proposed site plan").alias("title"), (F.col("page") % 2).alias("images"))
+    return extract(pages, texts, paths)[1]
