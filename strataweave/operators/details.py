@@ -113,10 +113,10 @@ def suppress_water(mapped: DataFrame, official: DataFrame, least: float = 0.62)
     return mapped.join(p.where(iou >= least).select(F.col("m.id").alias("id")).distinct(), "id", "left_semi")
 
 
-def water_level(samples: DataFrame, key: str) -> DataFrame:
-    """Level of each water body: its tag, or the median of four shore samples or more if these spread by 4 m at most, else unknown. A shore counts for still water only."""
+def water_level(samples: DataFrame, key: str, least: int = 1) -> DataFrame:
+    """Level of each water body: its tag, or the median of ``least`` shore samples or more (the published rule: four) if these spread by 4 m at most, else unknown. A shore counts for still water only."""
     g = samples.groupBy(key).agg(F.max("tag_level").alias("t"), F.median("shore").alias("m"), (F.percentile("shore", 0.9) - F.percentile("shore", 0.1)).alias("spread"), F.count("shore").alias("n"))
-    level = (F.col("spread") <= 4) & (F.col("n") >= 4)
+    level = (F.col("spread") <= 4) & (F.col("n") >= least)
     confidence = F.when(F.col("t").isNull() & level, F.greatest(F.lit(0.55), F.least(F.lit(0.92), 0.92 - F.col("spread") * 0.08)))
     return g.select(key, F.coalesce("t", F.when(level, F.col("m"))).alias("level"), F.when(F.col("t").isNotNull(), "tag").when(level, "shoreline").otherwise("unknown").alias("source"), confidence.alias("shore_confidence"))
 

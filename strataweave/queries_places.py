@@ -88,7 +88,7 @@ SELECT k, round(coalesce(t, CASE WHEN spread <= 4 THEN m END), 9) AS level, CASE
 def water_levels(spark, sf):
     k = F.col("l_suppkey")
     s = table(spark, sf, "lineitem").select(k.alias("k"), F.when((k % 5 == 0) & (F.col("l_linenumber") == 1), (k % 30).cast("double")).alias("tag_level"), (F.col("l_quantity") / (1 + k % 20)).alias("shore"))
-    return D.water_level(s, "k").select("k", F.round("level", 9).alias("level"), "source")
+    return D.water_level(s, "k", 4).select("k", F.round("level", 9).alias("level"), "source")
 
 
 @query(f"""WITH t AS (SELECT {_BOX.format(k='p_partkey')}, p_partkey % 5 AS page FROM part), l AS ({_at_sql('supplier', 's_suppkey', 37, 91, 997, 991, more=", s_suppkey % 5 AS page, 'label ' || s_suppkey % 3 AS label")}), p AS (SELECT t.id, label FROM t JOIN l ON l.page = t.page AND l.x BETWEEN t.min_x - 12 AND t.max_x + 12 AND l.z BETWEEN t.min_z - 12 AND t.max_z + 12), g AS (SELECT id, count(DISTINCT label) AS n, min(label) AS label FROM p GROUP BY 1)

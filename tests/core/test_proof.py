@@ -55,7 +55,7 @@ def test_depth_of_open_maps_is_only_reported(spark):
     assert depth(4, None, 300, "Survey Water") == ("measured", 4.0, None) and depth(None, 6, 300, "Survey Water") == ("measured-max-depth", None, 6.0)
     assert depth(900, None, 300, "Survey Water")[0] == "reported-not-bathymetry" and depth(None, None, 300, None) == ("unknown", None, None)
     s = spark.createDataFrame([("few", None, 10.0)] * 3 + [("flat", None, h) for h in (10.0, 10.0, 11.0, 12.0)] + [("steep", None, h) for h in (0.0, 5.0, 9.0, 20.0)] + [("tag", 7.0, None)], "w string, tag_level double, shore double")
-    got = {r.w: (r.level, r.source) for r in D.water_level(s, "w").collect()}
+    got = {r.w: (r.level, r.source) for r in D.water_level(s, "w", 4).collect()}
     assert got == {"few": (None, "unknown"), "flat": (10.5, "shoreline"), "steep": (None, "unknown"), "tag": (7.0, "tag")}
 
 
