@@ -6,6 +6,7 @@ A line is an array<struct<x, z>> in one row, so the row is the unit and nothing
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,8 @@ def per_row(df: DataFrame, id_col: str, inputs: list[str], f: Callable, schema:
     def run(batches):
         for b in batches:
             cols = [c.to_pylist() for c in b.columns]
-            found = [(i, *row) for i, *args in zip(*cols) for row in f(*args)]
-            for at in range(0, len(found), 20_000):
-                part = found[at : at + 20_000]
+            found = ((i, *row) for i, *args in zip(*cols) for row in f(*args))
+            while part := list(islice(found, 20_000)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*part), arrow)], schema=arrow)
 
     return df.select(id_col, *inputs).mapInArrow(run, out)
@@ -91,17 +91,22 @@ def voxel_lines(df: DataFrame, id_col: str, a: list[str], b: list[str]) -> DataF
 def free_routes(df: DataFrame, id_col: str, line: str, blockers: DataFrame, spacing: float = 0.5, least: float = 0.1) -> DataFrame:
     """(id, part, line): pieces of each line whose half-metre steps keep out of the blockers' rings (box, ring).
 
-    Steps meet the blockers in a spatial join; the pieces of a line are put together from its free steps.
+    Steps meet the blockers in a spatial join; the pieces of a line are put together from its free steps. Each line makes as many rows as it has
+    steps, which Spark doesn't foresee from the size of the lines: the joins of steps are told not to send a side to the driver.
     """
     from strataweave.operators.reconcile import points_in_areas
 
-    steps = resampled(df, id_col, line, spacing, carry=False)
-    ahead = steps.select(id_col, (F.col("i") - 1).alias("i"), F.col("x").alias("x2"), F.col("z").alias("z2"))
-    mid = steps.join(ahead, [id_col, "i"]).select(id_col, "i", F.struct("x", "z").alias("a"), F.struct(F.col("x2").alias("x"), F.col("z2").alias("z")).alias("b"), ((F.col("x") + F.col("x2")) / 2).alias("x"), ((F.col("z") + F.col("z2")) / 2).alias("z"))
-    hit = points_in_areas(mid.select(id_col, "i", "x", "z"), blockers).select(F.col(f"p.{id_col}").alias(id_col), F.col("p.i").alias("i")).distinct()
+    def steps(p):
+        q = G.resample(_points(p), spacing, carry=False).tolist()
+        return ((i, *a, *b) for i, (a, b) in enumerate(zip(q, q[1:])))
+
+    step = per_row(df, id_col, [line], steps, "i int, ax double, az double, bx double, bz double")
+    at = lambda k: F.struct(F.col(f"{k}x").alias("x"), F.col(f"{k}z").alias("z")).alias(k)
+    mid = step.select(id_col, "i", at("a"), at("b"), ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("az") + F.col("bz")) / 2).alias("z"))
+    hit = points_in_areas(mid.select(id_col, "i", "x", "z"), blockers.hint("merge")).select(F.col(f"p.{id_col}").alias(id_col), F.col("p.i").alias("i")).distinct()
     from pyspark.sql import Window
 
-    free = mid.join(hit, [id_col, "i"], "left_anti")
+    free = mid.join(hit.hint("merge"), [id_col, "i"], "left_anti")
     w = Window.partitionBy(id_col).orderBy("i")
     run = free.withColumn("_g", F.col("i") - F.row_number().over(w)).groupBy(id_col, "_g").agg(F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("s"))
     points = F.concat(F.array(F.col("s")[0]["a"]), F.transform("s", lambda q: q["b"]))

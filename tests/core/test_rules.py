@@ -232,6 +232,8 @@ def test_lines_as_tables(spark):
     assert len(free) == 2 and free[0][2] <= 4.5 and free[1][1] >= 5.5 and free[1][3] == 10.0
     for f in (N.simplified(df.limit(0), "id", "line", 1.0), N.free_routes(df.limit(0), "id", "line", b)):
         assert f.count() == 0
+    plan = N.free_routes(df, "id", "line", b)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # a line makes any number of steps; Spark would send them all to the driver
 
 
 def test_masks_as_tables(spark):
