@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataweave.core.session import cut_lineage
-from strataweave.functions.geometry import box_iou, segment_distance
+from strataweave.functions.geometry import segment_distance
 from strataweave.functions.scalars import clamp, half_up, text_relevance
-from strataweave.operators.spatial import BOX, best_of, box_join, match_boxes, planning_match_score
+from strataweave.operators.spatial import BOX, best_of, box_join, iou_pairs, match_boxes, planning_match_score
 
 # ---- gates
 
@@ -108,9 +108,9 @@ def edit_match(edits: DataFrame, features: DataFrame, tolerance: float = 8.0, mi
 
 def suppress_water(mapped: DataFrame, official: DataFrame, least: float = 0.62) -> DataFrame:
     """Mapped water that official water covers (overlap over union) with no other name."""
-    p = box_join(mapped, official, 64.0, 0.0, "m", "o").where(F.col("m.name").isNull() | F.col("o.name").isNull() | (F.lower("m.name") == F.lower("o.name")))
-    iou = box_iou({k: F.col(f"m.{k}") for k in BOX}, {k: F.col(f"o.{k}") for k in BOX})
-    return mapped.join(p.where(iou >= least).select(F.col("m.id").alias("id")).distinct(), "id", "left_semi")
+    alike = F.col("l.name").isNull() | F.col("r.name").isNull() | (F.lower("l.name") == F.lower("r.name"))
+    p = iou_pairs(mapped.select("id", "name", *BOX), official.select("name", *BOX), least, by=["name"], also=alike)
+    return mapped.join(p.select(F.col("l.id").alias("id")).distinct(), "id", "left_semi")
 
 
 def water_level(samples: DataFrame, key: str, least: int = 1) -> DataFrame:

@@ -127,3 +127,25 @@ def test_bilinear(spark):
     p = spark.createDataFrame([(1, 0.5, 0.0), (2, 0.5, 0.5), (3, 9.0, 9.0)], "id int, x double, z double")
     got = {r.id: r.value for r in R.bilinear(p, g).collect()}
     assert got == {1: 2.0, 2: 3.0, 3: None}
+
+
+def test_iou_pairs_are_all_pairs(spark):
+    import random
+
+    from strataweave.operators import spatial as J
+
+    rnd = random.Random(5)
+    boxes = [(i, x := rnd.uniform(-9, 9), z := rnd.choice([-3.0, 0.0, 2.5]), x + rnd.choice([0.0, 1.0, 4.0, 60.0]), z + rnd.uniform(0, 9)) for i in range(300)]
+    boxes += [(i, 1.0, 1.0, 5.0, 5.0) for i in range(300, 820)] + [(900, None, 1.0, 5.0, 5.0), (901, 5.0, 1.0, 1.0, 5.0)]
+    df = spark.createDataFrame(boxes, "id int, min_x double, min_z double, max_x double, max_z double")
+
+    def iou(a, b):
+        i = max(0, min(a[3], b[3]) - max(a[1], b[1])) * max(0, min(a[4], b[4]) - max(a[2], b[2]))
+        return i / max(1e-9, (a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) - i)
+
+    known = [b for b in boxes if b[1] is not None]
+    want = {(a[0], b[0]) for a in known for b in known if iou(a, b) >= 0.3}
+    got = [(r.a, r.b) for r in J.iou_pairs(df, df, 0.3).selectExpr("l.id as a", "r.id as b").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    once = [(r.a, r.b) for r in J.iou_pairs(df, df, 0.3, once="id").selectExpr("l.id as a", "r.id as b").collect()]
+    assert len(once) == len(set(once)) and set(once) == {p for p in want if p[0] < p[1]}
