@@ -278,10 +278,10 @@ def line_overlap_dedupe(spark, sf):
 @query(f"""WITH b AS (SELECT {_BOX.format(k='p_partkey').replace('997', '199').replace('991', '197')} FROM part), p AS (SELECT l.id AS a, r.id AS b, greatest(0, least(l.max_x, r.max_x) - greatest(l.min_x, r.min_x)) * greatest(0, least(l.max_z, r.max_z) - greatest(l.min_z, r.min_z)) AS i, (l.max_x - l.min_x) * (l.max_z - l.min_z) AS x, (r.max_x - r.min_x) * (r.max_z - r.min_z) AS y FROM b l, b r WHERE l.id < r.id AND l.min_x <= r.max_x AND l.max_x >= r.min_x AND l.min_z <= r.max_z AND l.max_z >= r.min_z)
 SELECT a, b, round(i / (x + y - i), 9) AS iou FROM p WHERE i / (x + y - i) >= 0.3""")
 def box_overlap_iou(spark, sf):
-    b = _boxes(table(spark, sf, "part"), "p_partkey", F.lit("area"), 199, 197)
-    p = J.box_join(b, b, 16.0).where(F.col("l.id") < F.col("r.id"))
+    b = _boxes(table(spark, sf, "part"), "p_partkey", F.lit("area"), 199, 197).drop("family")
+    p = J.iou_pairs(b, b, 0.3, once="id")
     iou = G.box_iou({k: F.col(f"l.{k}") for k in J.BOX}, {k: F.col(f"r.{k}") for k in J.BOX})
-    return p.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.round(iou, 9).alias("iou")).where(iou >= 0.3)
+    return p.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.round(iou, 9).alias("iou"))
 
 
 # ---------------------------------------------------------------- edits, time, collisions
