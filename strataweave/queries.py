@@ -162,7 +162,7 @@ SELECT g.lineage, CASE WHEN families = 1 AND unknown = 0 AND tops = 1 THEN lates
 def revision_chain(spark, sf):
     k = F.col("p_partkey")
     n = F.floor(k / 50).cast("string")
-    rev = F.when(k % 50 < 20, F.concat(F.lit("REV "), n)).when(k % 50 < 30, F.concat(F.lit("P"), F.lpad(n, 2, "0"))).when(k % 50 < 40, F.when(k % 100 < 50, "A").otherwise("3"))
+    rev = F.when(k % 50 < 20, F.concat(F.lit("REV "), n)).when(k % 50 < 30, F.concat(F.lit("P"), F.lpad(n, F.greatest(F.lit(2), F.length(n)), "0"))).when(k % 50 < 40, F.when(k % 100 < 50, "A").otherwise("3"))
     d = table(spark, sf, "part").select((k % 50).alias("lineage"), k.alias("id"), S.revision(rev).alias("rev"))
     return U.latest_revisions(d, "lineage", F.col("rev"), "id")
 

@@ -30,6 +30,13 @@ def test_components_use_every_supplier(spark, tmp_path):
     assert got == label and len(set(got.values())) == 20
 
 
+def test_revisions_of_three_digits(spark, tmp_path):
+    spark.range(6000).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.lineage: r for r in queries.QUERIES["revision_chain"](spark, str(tmp_path)).collect()}
+    assert all((got[k].latest, got[k].status) == (5950 + k, "latest") for k in range(30))
+    assert all(got[k].latest is None for k in range(30, 50))
+
+
 def test_lpt_bins_deal_every_item(spark, tmp_path):
     n = 100_003
     spark.range(n).selectExpr("id as item_id", "repeat('word ', cast(id % 37 as int)) as text").write.parquet(f"{tmp_path}/benchmark.parquet")
