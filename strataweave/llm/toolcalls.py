@@ -80,7 +80,7 @@ def levels(calls: DataFrame) -> DataFrame:
     # what several calls depend on, seen through the runs: a call without dependencies, or one with several
     through = runs.select("conv_id", F.col("call_id").alias("on"), F.col("on").alias("end"), F.col("step").alias("run"), F.col("cyclic"))
     short = several.join(through, ["conv_id", "on"], "left").select(*KEY, F.coalesce("end", "on").alias("on"), (F.col("step") + F.coalesce("run", F.lit(0))).alias("step"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
-    forks = _settle(cut_lineage(short))
+    forks = _settle(short)
     ends = forks.select("conv_id", F.col("call_id").alias("on"), F.col("level").alias("at"), F.col("cyclic").alias("bad"))
     of_runs = runs.join(ends, ["conv_id", "on"], "left").select(*KEY, (F.col("step") + F.coalesce("at", F.lit(0))).alias("level"), (F.col("cyclic") | F.coalesce("bad", F.lit(False))).alias("cyclic"))
     known = of_runs.union(forks.select(*KEY, "level", "cyclic"))
@@ -104,21 +104,29 @@ def _skip_runs(single: DataFrame) -> DataFrame:
 
 
 def _settle(short: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, cyclic) of the calls with several dependencies: in each round those whose dependencies are all known."""
-    done = short.select(*KEY, F.lit(0).alias("level"), F.lit(False).alias("cyclic")).limit(0)
-    pending = short
-    while not pending.isEmpty():
-        waiting = pending.select("conv_id", F.col("call_id").alias("on")).distinct()
-        blocked = pending.join(waiting, ["conv_id", "on"], "left_semi").select(*KEY).distinct()
-        ready = pending.join(blocked, KEY, "left_anti")
-        known = done.select("conv_id", F.col("call_id").alias("on"), F.col("level").alias("at"), F.col("cyclic").alias("bad"))
-        now = ready.join(known, ["conv_id", "on"], "left").groupBy(*KEY).agg(F.max(F.col("step") + F.coalesce("at", F.lit(0))).alias("level"), F.max(F.col("cyclic") | F.coalesce("bad", F.lit(False))).alias("cyclic"))
-        now = cut_lineage(now)
-        if now.isEmpty():
-            return done.union(pending.select(*KEY).distinct().withColumns({"level": F.lit(0), "cyclic": F.lit(True)}))
-        done = cut_lineage(done.union(now))
-        pending = cut_lineage(pending.join(now.select(*KEY), KEY, "left_anti"))
-    return done
+    """(conv_id, call_id, level, cyclic) of the calls with several dependencies: in each round those whose dependencies are all known.
+
+    An edge whose dependency is one of these calls waits until ``at`` and ``bad`` say what became of it. A round writes two small tables, for each
+    plan and table costs memory on the driver: the calls with what is known of them, and the edges of those that still wait.
+    """
+    own = short.select("conv_id", F.col("call_id").alias("on"), F.lit(True).alias("own")).distinct()
+    waits = F.col("own").isNotNull()
+    pending = cut_lineage(short.join(own, ["conv_id", "on"], "left").select(*KEY, "on", "step", F.when(~waits, 0).alias("at"), F.col("cyclic").alias("bad")))
+    done, n = None, 0
+    while True:
+        calls = cut_lineage(pending.groupBy(*KEY).agg(F.min(F.col("at").isNotNull()).alias("known"), F.max(F.col("step") + F.col("at")).alias("level"), F.max("bad").alias("cyclic")))
+        now, rest = calls.where("known").drop("known"), calls.where("not known").select(*KEY)
+        some = {r[0] for r in calls.select("known").distinct().collect()}  # two at most
+        if True not in some:
+            left = rest.withColumns({"level": F.lit(0), "cyclic": F.lit(True)})
+            return left if done is None else done.union(left)
+        done, n = now if done is None else done.union(now), n + 1
+        if False not in some:
+            return done
+        if n % 16 == 0:
+            done = cut_lineage(done)
+        found = now.select("conv_id", F.col("call_id").alias("on"), F.col("level").alias("new"), F.col("cyclic").alias("odd"))
+        pending = cut_lineage(pending.join(rest, KEY, "left_semi").join(found, ["conv_id", "on"], "left").select(*KEY, "on", "step", F.coalesce("at", "new").alias("at"), (F.col("bad") | F.coalesce("odd", F.lit(False))).alias("bad")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:

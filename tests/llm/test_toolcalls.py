@@ -111,3 +111,13 @@ def test_query_has_levels_and_cycles(spark, sf):
 
     rows = queries.op5_tool_calls(spark, sf).where("kind = 'tool_call'").collect()
     assert {r.level for r in rows} >= {0, 1, None} and all((r.level is None) == (r.status == "cycle") for r in rows)
+
+
+def test_a_round_writes_two_tables(spark, monkeypatch):
+    made = []
+    keep = toolcalls.cut_lineage
+    monkeypatch.setattr(toolcalls, "cut_lineage", lambda df: made.append(1) or keep(df))
+    edges = [("c", f"k{i}", on, 1, False) for i in range(4) for on in (f"k{i - 1}", f"e{i}")]
+    got = toolcalls._settle(spark.createDataFrame(edges, "conv_id string, call_id string, on string, step int, cyclic boolean")).collect()
+    assert {(r.call_id, r.level, r.cyclic) for r in got} == {(f"k{i}", i + 1, False) for i in range(4)}
+    assert len(made) <= 2 * 4
