@@ -270,9 +270,11 @@ def shadowed(spans: DataFrame, key: str) -> DataFrame:
 
 
 def first_seen(pages: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Of repeated pages the first by ``order``; an aggregate, so repeats collapse before the shuffle."""
+    """Of repeated pages the first by ``order``, ties by the least other columns, in theirs; an aggregate, so repeats collapse before the shuffle."""
     rest = [c for c in pages.columns if c not in key and c != order]
-    return pages.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r"), F.min(order).alias(order)).select(*key, order, "_r.*")
+    tie = [F.col(c).cast("string") if "map<" in pages.schema[c].dataType.simpleString() else F.col(c) for c in rest]  # maps have no order
+    first = F.when(F.col(order).isNotNull(), F.struct(order, *tie))
+    return pages.groupBy(*key).agg(F.min_by(F.struct(*rest), first).alias("_r"), F.min(order).alias(order)).select(*key, order, "_r.*")
 
 
 def merge_bundles(pages: DataFrame, documents: DataFrame, fallback: DataFrame, counts: list[str]) -> DataFrame:

@@ -81,6 +81,22 @@ def test_growth_and_decisions(spark):
     assert {(r.k, r.change) for r in D.tombstones(spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int"), "k").collect()} == {(1, "removed"), (3, "added")}
 
 
+def test_first_seen_ties_do_not_depend_on_row_order(spark):
+    rows = [("h", 5, 7, "b", {"k": 1}), ("h", 5, 3, "z", {"k": 2}), ("h", 5, 3, "a", {"k": 2}), ("h", None, 0, "a", {"k": 0}), ("n", None, 2, "y", {"k": 1})]
+    for r in (rows, rows[::-1], rows[2:] + rows[:2]):
+        d = spark.createDataFrame(r, "h string, o int, g int, t string, m map<string, int>")
+        for parts in (1, 3):
+            assert sorted(tuple(x) for x in D.first_seen(d.coalesce(1) if parts == 1 else d.repartition(parts), ["h"], "o").collect()) == [("h", 5, 3, "a", {"k": 2}), ("n", None, None, None, None)]
+
+
+def test_merged_bundles_ties_do_not_depend_on_row_order(spark):
+    rows = [("h", 1, 0, 5, 9, 1), ("h", 1, 0, 5, 4, 6), ("h", 2, 1, 1, 2, 2), ("h", 2, 0, 3, 8, 8)]
+    for r in (rows, rows[::-1]):
+        p = spark.createDataFrame(r, "content_hash string, page int, bundle int, seq int, geometry int, levels int").coalesce(1)
+        got = D.merge_bundles(p, p.select("content_hash"), p.where("geometry < 5").select("content_hash", "page"), ["geometry", "levels"]).collect()
+        assert [x.asDict() for x in got] == [{"pages": 2, "geometry": 12, "levels": 14, "documents": 1, "fallback_pages": 2}]
+
+
 def test_placement(spark):
     c = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 1, 0, 2.0), ("b", 0, 0, 0.5), ("b", 9, 9, 3.0), ("c", 0, 0, 0.7)], "o string, x int, z int, score double")
     assert {r.o: (r.x, r.z) for r in D.sign_cells(c, "o").collect()} == {"b": (0, 0), "a": (1, 0)}
