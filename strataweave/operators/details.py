@@ -280,9 +280,9 @@ def first_seen(pages: DataFrame, key: list[str], order: str) -> DataFrame:
 def merge_bundles(pages: DataFrame, documents: DataFrame, fallback: DataFrame, counts: list[str]) -> DataFrame:
     """One row: distinct documents, pages, sums of ``counts`` over the pages, and pages left to a raster reader, of several extraction bundles.
 
-    A page (content_hash, page) counts as the first bundle has it (``bundle``, then ``seq``); documents without a hash are not counted.
+    A page (content_hash, page) counts as the first bundle has it (``bundle``, then ``seq``, null last in both); documents without a hash are not counted.
     """
-    p = pages.withColumn("_order", F.struct("bundle", "seq")).drop("bundle", "seq")
+    p = pages.withColumn("_order", F.struct(F.col("bundle").isNull(), "bundle", F.col("seq").isNull(), "seq")).drop("bundle", "seq")
     p = first_seen(p, ["content_hash", "page"], "_order").agg(F.count("*").alias("pages"), *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts])
     d = documents.agg(F.count_distinct("content_hash").alias("documents"))
     r = fallback.select(F.coalesce("content_hash", F.lit("")).alias("h"), F.coalesce("page", F.lit(0)).alias("p")).distinct().agg(F.count("*").alias("fallback_pages"))

@@ -97,6 +97,11 @@ def test_merged_bundles_ties_do_not_depend_on_row_order(spark):
         assert [x.asDict() for x in got] == [{"pages": 2, "geometry": 12, "levels": 14, "documents": 1, "fallback_pages": 2}]
 
 
+def test_merged_bundles_take_pages_without_a_bundle_last(spark):
+    p = spark.createDataFrame([("h", 1, None, 1, 9), ("h", 1, 2, None, 7), ("h", 1, 2, 8, 5), ("g", 1, None, None, 3)], "content_hash string, page int, bundle int, seq int, geometry int")
+    assert [(r.pages, r.geometry) for r in D.merge_bundles(p, p.select("content_hash"), p.select("content_hash", "page"), ["geometry"]).collect()] == [(2, 8)]
+
+
 def test_placement(spark):
     c = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 1, 0, 2.0), ("b", 0, 0, 0.5), ("b", 9, 9, 3.0), ("c", 0, 0, 0.7)], "o string, x int, z int, score double")
     assert {r.o: (r.x, r.z) for r in D.sign_cells(c, "o").collect()} == {"b": (0, 0), "a": (1, 0)}
