@@ -12,7 +12,7 @@ CELL = ["x", "y", "z"]
 
 
 def last_writer(ops: DataFrame, cell: list[str] = CELL, phase: str = "phase", seq: str = "seq", value: str = "block") -> DataFrame:
-    """The value written last to each cell: by phase, then insertion. An aggregate with partial maxima, no sort."""
+    """The value written last to each cell: by phase, then insertion, ties by the greatest value. An aggregate with partial maxima, no sort."""
     return ops.groupBy(*cell).agg(F.max(F.struct(phase, seq, value)).alias("_m")).select(*cell, F.col(f"_m.{value}").alias(value), F.col(f"_m.{phase}").alias(phase))
 
 

@@ -149,3 +149,10 @@ def test_iou_pairs_are_all_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == want
     once = [(r.a, r.b) for r in J.iou_pairs(df, df, 0.3, once="id").selectExpr("l.id as a", "r.id as b").collect()]
     assert len(once) == len(set(once)) and set(once) == {p for p in want if p[0] < p[1]}
+
+
+def test_last_writer_ties_do_not_depend_on_row_order(spark):
+    rows = [(0, 0, 0, 3, 7, "N"), (0, 0, 0, 3, 7, "R"), (0, 0, 0, 2, 9, "Z"), (1, 0, 0, 0, 1, "A"), (1, 0, 0, 0, None, "B")]
+    for r in (rows, rows[::-1]):
+        got = R.last_writer(spark.createDataFrame(r, "x int, y int, z int, phase int, seq int, block string").coalesce(1)).collect()
+        assert sorted(map(tuple, got)) == [(0, 0, 0, "R", 3), (1, 0, 0, "A", 0)]
